@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
+from .decontaminate import leaks
+from .langid import identify, page_evidence
 from .packing import pack
+from .permutation import neighbours
 from .quality import quality_scores
 from .simhash import simhash_groups
 from .warc import read_archive, write_archive
@@ -15,6 +19,17 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents declare their language in `lang`; `source` stands for the host."""
+    return identify(_read(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"))
+
+
+def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on pages: markup language, address suffix and host; likelihoods from documents."""
+    pages = page_evidence(_read(spark, sf_dir, "pages"))
+    return identify(pages, declared=F.col("declared"), suffix=F.col("suffix"), host=F.col("host"), labelled=_read(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "page_id")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -24,13 +39,21 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_quality": op2_quality, "op3_warc": op3_warc, "op6_packing": op6_packing, "op10_simhash": op10_simhash}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_quality, op3_warc, op5_permutation, op6_packing, op8_decontaminate, op10_simhash, langid_pages)}
 ORACLES: dict[str, str] = {}
