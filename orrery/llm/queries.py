@@ -12,6 +12,7 @@ from .packing import pack
 from .permutation import neighbours
 from .quality import quality_scores
 from .simhash import simhash_groups
+from .transducer import token_counts
 from .warc import read_archive, write_archive
 
 
@@ -39,6 +40,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"))
+
+
 def op5_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(_read(spark, sf_dir, "embeddings"))
 
@@ -55,5 +60,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_quality, op3_warc, op5_permutation, op6_packing, op8_decontaminate, op10_simhash, langid_pages)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_quality, op3_warc, op4_transducer, op5_permutation, op6_packing, op8_decontaminate, op10_simhash, langid_pages)}
 ORACLES: dict[str, str] = {}
