@@ -13,6 +13,7 @@ from .permutation import neighbours
 from .quality import quality_scores
 from .simhash import simhash_groups
 from .substring import without_repeats
+from .suffixes import without_shared
 from .transducer import token_counts
 from .warc import read_archive, write_archive
 
@@ -62,9 +63,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = without_shared(_read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_quality, op3_warc, op4_transducer, op5_permutation, op6_packing, op7_recompression, op8_decontaminate, op10_simhash, langid_pages)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_quality, op3_warc, op4_transducer, op5_permutation, op6_packing, op7_recompression, op8_decontaminate, op9_suffixes, op10_simhash, langid_pages)}
 ORACLES: dict[str, str] = {}
