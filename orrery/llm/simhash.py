@@ -207,3 +207,151 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = nodes.join(comp, nodes.node == comp.node, "left").select("print", "n", F.coalesce("component", nodes.node).alias("component_id"))
     out = with_heavy(docs, named, "print", "n")
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+SKETCH = 512
+
+
+def _measured(data: np.ndarray, at: np.ndarray, print_width: int, width: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Of each text: a digest of its lowered words, the fingerprint of its distinct short shingles, and how many distinct
+    long ones it has."""
+    import xxhash
+
+    low = _LOWER[data].tobytes()
+    cut = at.tolist()
+    digest, prints, sizes = [], [], []
+    for a, b in zip(cut, cut[1:]):
+        own = low[a:b].split()
+        digest.append(xxhash.xxh3_128_digest(b" ".join(own)))
+        short = {b" ".join(own[i : i + print_width]) for i in range(max(1, len(own) - print_width + 1))} if own else ()
+        h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in short), np.uint64, len(short))
+        ones = np.zeros(64, np.int64)
+        for k in range(0, len(h), 1 << 16):
+            ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        prints.append(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<u8")[0])
+        sizes.append(len({tuple(own[i : i + width]) for i in range(len(own) - width + 1)}) or min(1, len(own)))
+    return digest, np.array(prints, np.uint64), np.array(sizes, np.int64)
+
+
+def sketch(text: bytes, width: int, most: int = SKETCH) -> bytes:
+    """The least `most` 32-bit hashes of a text's distinct shingles, ascending; all of them if there are no more."""
+    import xxhash
+
+    own = bytes(_LOWER[np.frombuffer(text, np.uint8)]).split()
+    hashes = {xxhash.xxh32_intdigest(b" ".join(own[i : i + width])) for i in range(max(1, len(own) - width + 1))} if own else set()
+    return np.sort(np.fromiter(hashes, np.uint32, len(hashes)))[:most].astype("<u4").tobytes()
+
+
+def resemblance(a: bytes, b: bytes, most: int = SKETCH) -> float:
+    """The Jaccard similarity of two shingle sets from their sketches; exact for sets that the sketches hold whole."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = np.union1d(x, y)
+    if len(x) == most or len(y) == most:
+        both = both[:most]
+    if not len(both):
+        return 1.0
+    return float(np.isin(both, np.intersect1d(x, y)).mean())
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], max_bits: int, segments: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, size) -> for each node its nearest one in a bucket among those before and after it."""
+    masks, (_, equal) = _masks(max_bits, segments), ring(max_bits, segments)
+    held: list[pa.RecordBatch] = []
+
+    def found(table: pa.Table) -> pa.RecordBatch:
+        key, prints, node, start, size = (table.column(c).to_numpy() for c in ("key", "print", "node", "start", "size"))
+        prints, n = prints.view(np.uint64), len(key)
+        best = np.full((2, n), 1 << 30, np.int64)
+        other = np.zeros((2, n), np.int64)
+        alive, step = np.arange(n), 1
+        while len(alive):
+            alive = alive[alive + step < n]
+            j = alive + step
+            alive = alive[(key[j] == key[alive]) & (size[j] * similarity <= size[alive])]  # sizes ascend: further ones differ more
+            i = alive
+            x = prints[i] ^ prints[i + step]
+            for k in range(equal, segments):
+                fits = np.bitwise_count(x & masks[start[i], k]) <= (k + 1) * max_bits // segments
+                i, x = i[fits], x[fits]
+            if len(i):
+                j, bits = i + step, np.bitwise_count(x).astype(np.int64)
+                later, earlier = node[i] < node[j], node[i] > node[j]
+                for a, b, rows in ((i, j, later), (j, i, earlier)):  # a has the smaller id
+                    a, b, d = a[rows], b[rows], bits[rows]
+                    for side, own, its in ((0, b, a), (1, a, b)):
+                        closer = d < best[side, own]
+                        best[side, own[closer]], other[side, own[closer]] = d[closer], node[its[closer]]
+            step += 1
+        side, own = np.nonzero(best < 1 << 30)
+        return pa.record_batch({"node": pa.array(node[own], pa.int64()), "side": pa.array(side, pa.int64()), "bits": pa.array(best[side, own]), "other": pa.array(other[side, own], pa.int64())})
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(x.num_rows for x in held) < 100_000 or held[0].column("key")[0] == batch.column("key")[-1]:
+            continue
+        table = pa.Table.from_batches(held)
+        key = table.column("key").to_numpy()
+        whole = int(np.searchsorted(key, key[-1]))
+        yield found(table.slice(0, whole))
+        held = table.slice(whole).combine_chunks().to_batches()
+    if held:
+        yield found(pa.Table.from_batches(held))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, print_width: int = 2, max_bits: int = 8, segments: int = 17) -> DataFrame:
+    """Per row: doc_id, component_id: the smallest id of its group of near-duplicates.
+
+    Texts are alike if the Jaccard similarity of their distinct shingles of `width` words is `similarity` or more. A few
+    words put in or changed leave the fingerprint of the distinct shingles of `print_width` words within `max_bits` in
+    almost all cases: it finds the candidates, in buckets of the pigeonring, among texts whose sizes allow the similarity.
+    Each text keeps its nearest candidate with a smaller and with a larger id; these links are checked on the shingles
+    (on the SKETCH least hashes of longer sets) before they count. Texts of the same lowered words are one; so are blank
+    and null texts. Rows with a null id are left out. Repeated rows each come back; other columns are not read; an empty
+    table gives an empty result.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+
+    def measure(batches):
+        for batch, data, at in slices(batches, "text"):
+            digest, prints, sizes = _measured(data, at, print_width, width)
+            yield pa.record_batch({"id": batch.column("id"), "digest": pa.array(digest, pa.binary()), "print": pa.array(prints.view(np.int64)), "size": pa.array(sizes)})
+
+    docs = written(rows.mapInArrow(measure, "id long, digest binary, print long, size long"))
+    nodes = written(docs.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.first("print").alias("print"), F.first("size").alias("size")))
+    cut, equal = ring(max_bits, segments)
+    keys = []
+    for i in range(segments):
+        key = F.lit(i).cast("long")
+        for a, b in (cut[(i + j) % segments] for j in range(equal)):
+            key = F.shiftleft(key, b - a).bitwiseOR(F.shiftrightunsigned("print", a).bitwiseAND(F.lit((1 << (b - a)) - 1)))
+        keys.append(F.struct(F.lit(i).alias("start"), key.alias("key")))
+    # sizes of one bucket in ranges that overlap by the similarity: two ranges of a text meet any partner's
+    scale = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / float(np.log(1 / similarity)))
+    boxes = nodes.where("size > 0").select("node", "print", "size", F.explode(F.array(*keys)).alias("box"), scale.alias("band")).select("node", "print", "size", "box.start", "box.key", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    boxes = boxes.select("node", "print", "size", "start", F.shiftleft("key", 16).bitwiseOR(F.col("band").cast("long")).alias("key"))
+    dealt = boxes.repartition(partitions(spark), "key").sortWithinPartitions("key", "size", "node")
+    near = dealt.mapInArrow(lambda x: _nearest(x, max_bits, segments, similarity), "node long, side long, bits long, other long")
+    links = near.groupBy("node", "side").agg(F.min(F.struct("bits", "other")).alias("m")).select(F.greatest("node", "m.other").alias("a"), F.least("node", "m.other").alias("b")).distinct()
+    links = written(links)
+    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
+
+    def draw(batches):
+        for batch, data, at in slices(batches, "text"):
+            raw, cuts = data.tobytes(), at.tolist()
+            yield pa.record_batch({"id": batch.column("id"), "sketch": pa.array([sketch(raw[a:b], width) for a, b in zip(cuts, cuts[1:])], pa.binary())})
+
+    drawn = rows.join(ends, "id", "left_semi").mapInArrow(draw, "id long, sketch binary").groupBy("id").agg(F.min("sketch").alias("sketch"))
+    drawn = written(drawn)
+    paired = links.join(drawn.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(drawn.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
+
+    def alike(batches):
+        for batch in batches:
+            ok = [resemblance(x, y) >= similarity for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    comp = components(paired.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
+    named = nodes.join(comp, nodes.node == comp.node, "left").select("digest", "n", F.coalesce("component", nodes.node).alias("component_id"))
+    return with_heavy(docs, named, "digest", "n").select(F.col("id").alias("doc_id"), "component_id")

@@ -74,8 +74,8 @@ def span_rows(spans: np.ndarray, buckets: int, **fixed) -> Iterator[dict]:
         yield {**fixed, "bucket": bucket, "blob": spans[rows].tobytes()}
 
 
-def texts_in_buckets(df: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """(bucket, blob): compressed texts with their ids, a row for each bucket of a batch."""
+def texts_in_buckets(df: DataFrame, id_col: str, text_col: str, buckets: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(bucket, blob): compressed texts with their ids and the columns `carry`, a row for each bucket of a batch."""
 
     def send(batches):
         import zstandard
@@ -84,23 +84,35 @@ def texts_in_buckets(df: DataFrame, id_col: str, text_col: str, buckets: int) ->
         for batch, data, at in slices(batches, "text", 1 << 23):
             doc, var, size = doc_ids(batch.column("id")), variants(data, at), np.diff(at)
             raw = data.tobytes()
+            other = batch.select([f"c{i}" for i in range(len(carry))])
             out_bucket, out_blob = [], []
             for bucket, rows in by_bucket(bucket_of(doc, var, buckets)):
                 body = b"".join(raw[at[i] : at[i + 1]] for i in rows.tolist())
+                more = _ipc(other.take(pa.array(rows))) if carry else b""
                 out_bucket.append(bucket)
-                out_blob.append(squeeze.compress(pack(doc[rows], var[rows], size[rows], np.frombuffer(body, np.uint8))))
+                out_blob.append(squeeze.compress(pack(doc[rows], var[rows], size[rows], np.frombuffer(body, np.uint8), np.frombuffer(more, np.uint8))))
             yield pa.record_batch({"bucket": pa.array(out_bucket, pa.int32()), "blob": pa.array(out_blob, pa.binary())})
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(send, "bucket int, blob binary")
+    columns = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *columns).mapInArrow(send, "bucket int, blob binary")
 
 
-def read_texts(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
-    """(doc, var, text) of each text in a bucket's rows."""
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def read_texts(table: pa.Table, carried: list | None = None) -> Iterator[tuple[int, int, bytes]]:
+    """(doc, var, text) of each text in a bucket's rows; tables of carried columns, in the same order, go to `carried`."""
     import zstandard
 
     open_ = zstandard.ZstdDecompressor()
     for blob in table.column("blob"):
-        doc, var, size, body = unpack(open_.decompress(blob.as_py()), "<i8", "<u4", "<i8", "u1")
+        doc, var, size, body, more = unpack(open_.decompress(blob.as_py()), "<i8", "<u4", "<i8", "u1", "u1")
+        if carried is not None and len(more):
+            carried.append(pa.ipc.open_stream(more.tobytes()).read_all())
         raw, at = body.tobytes(), np.concatenate([[0], np.cumsum(size)]).tolist()
         for i, (d, v) in enumerate(zip(doc.tolist(), var.tolist())):
             yield d, v, raw[at[i] : at[i + 1]]
@@ -126,17 +138,31 @@ def covered(spans: np.ndarray | None, size: int, reach: int) -> np.ndarray | Non
     return np.cumsum(edge[:-1]) > 0
 
 
-def with_spans(df: DataFrame, spans: DataFrame, id_col: str, text_col: str, buckets: int, fold: Callable, fields: dict[str, pa.DataType], schema: str) -> DataFrame:
-    """Texts and the spans of their buckets meet; fold(text, spans or None) gives the columns `fields` of each text."""
+def with_spans(df: DataFrame, spans: DataFrame, id_col: str, text_col: str, buckets: int, fold: Callable, fields: dict[str, pa.DataType], schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Texts and the spans of their buckets meet; fold(text, spans or None) gives the columns `fields` of each text, which
+    come after doc_id and before the columns `carry` of its row."""
 
     def meet(texts: pa.Table, marks: pa.Table) -> pa.Table:
         found = read_spans(marks)
-        ids, rows = [], []
-        for doc, var, text in read_texts(texts):
+        ids, rows, others = [], [], []
+        for doc, var, text in read_texts(texts, others):
             ids.append(None if doc == NO_ID else doc)
             rows.append(fold(text, found.get((doc, var))))
         cols = list(zip(*rows)) or [[]] * len(fields)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), **{n: pa.array(c, k) for (n, k), c in zip(fields.items(), cols)}})
-
-    left = texts_in_buckets(df, id_col, text_col, buckets).groupBy("bucket")
-    return left.cogroup(spans.groupBy("bucket")).applyInArrow(meet, f"doc_id long, {schema}")
+        out = pa.table({"doc_id": pa.array(ids, pa.int64()), **{n: pa.array(c, k) for (n, k), c in zip(fields.items(), cols)}})
+        if carry and others:
+            joined = pa.concat_tables(others)
+            for i, name in enumerate(carry):
+                out = out.append_column(name, joined.column(f"c{i}"))
+        elif carry:
+            kinds = pa.schema([pa.field(c, k) for c, k in carried_types])
+            for name in carry:
+                out = out.append_column(name, pa.array([], kinds.field(name).type))
+        return out
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    carried_types = [(c, to_arrow_type(df.schema[c].dataType)) for c in carry]
+    left = texts_in_buckets(df, id_col, text_col, buckets, carry).groupBy("bucket")
+    more = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in carry)
+    return left.cogroup(spans.groupBy("bucket")).applyInArrow(meet, f"doc_id long, {schema}{more}")

@@ -245,13 +245,15 @@ def _sorted(table: pa.Table, parts: int, width: int, gram: int, most: int = SYMB
     return pa.table(_rows(list(span_rows(merged(doc[sort], var[sort], place[sort]), parts)), ("bucket", "blob")))
 
 
-def without_shared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the bytes that stay).
+def without_shared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, carry: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the bytes that stay), and the columns
+    `carry`.
 
     A byte of a whole UTF-8 text goes if it lies in a `width`-byte string that also starts in a document with a smaller
     id; strings do not cross documents and are judged on the input. Null texts are empty; a null id counts as the
     largest. Rows that share an id are one document: none takes from the other. Repeated rows each come back; other
-    columns are not read; an empty table gives an empty result. Kept bytes may cut characters: `kept` is binary.
+    columns are not read; an empty table gives an empty result. Kept bytes may cut characters; with `characters` those that are covered in part
+    stay whole, and `kept` is valid UTF-8.
     """
     parts = partitions(df.sparkSession)
 
@@ -271,8 +273,11 @@ def without_shared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         gone = covered(known, len(text), width)
         if gone is None:
             return len(text), 0, 0, text
+        if characters:
+            lead = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80
+            gone = np.logical_and.reduceat(gone, np.flatnonzero(lead))[np.cumsum(lead) - 1]
         runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
         return len(text), int(gone.sum()), runs, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
     fields = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
-    return with_spans(df, spans, id_col, text_col, parts, fold, fields, "n_bytes long, n_removed long, n_spans long, kept binary")
+    return with_spans(df, spans, id_col, text_col, parts, fold, fields, "n_bytes long, n_removed long, n_spans long, kept binary", carry)
