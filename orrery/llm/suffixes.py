@@ -201,22 +201,34 @@ def _sorted(table: pa.Table, parts: int, width: int, gram: int, most: int = SYMB
     marks = np.concatenate([m.view(MARK) for m, _ in sent])
     body = np.concatenate([b for _, b in sent])
     at = np.concatenate([[0], np.cumsum(marks["many"].astype(np.int64) + (width - gram - 1))])
-    # a shared window shares half of its bytes beside the key, on the one side or on the other
-    side = (width - gram) // 2
+    # a shared window shares half of its bytes beside the key, on the one side or on the other; windows of a stretch that
+    # has company on one side only reach over that side's half, and the rest of the stretch need not be sorted
+    beside = width - gram
+    side = beside // 2
     hashes, off, size = Prefix.of_bytes(body), marks["off"].astype(np.int64), np.diff(at)
-    live = np.zeros(len(marks), bool)
+    company = []
     for has, a in ((off >= side, at[:-1] + off - side), (size - off >= side, at[:-1] + off)):
         rows = np.flatnonzero(has)
         value = mixed(hashes(a[rows], a[rows] + side) + mixed(marks["key"][rows].astype(np.uint64)))
         _, back, count = np.unique(value, return_inverse=True, return_counts=True)
-        live[rows[count[back] > 1]] = True
-    order = np.flatnonzero(live)
+        known = np.zeros(len(marks), bool)
+        known[rows[count[back] > 1]] = True
+        company.append(known)
+    left, right = company
+    many = marks["many"].astype(np.int64)
+    skip = np.where(right & ~left, np.maximum(off - (beside - side - 1), 0), 0)  # windows with too much on the left
+    last = np.where(left & ~right, np.minimum(many, off - side), many)  # and with too little
+    order = np.flatnonzero((left | right) & (last > skip))
     order = order[np.lexsort((marks["place"][order], marks["doc"][order], marks["key"][order]))]
-    marks_, size = marks[order], size[order]
     if not len(order):
         return pa.table(_rows([], ("bucket", "blob")))
+    marks_ = marks[order]
+    marks_["place"] += skip[order].astype(np.uint32)
+    marks_["off"] -= skip[order].astype(np.uint8)
+    marks_["many"] = last[order] - skip[order]
+    size = marks_["many"].astype(np.int64) + (beside - 1)
     inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    body_ = body[np.repeat(at[order], size) + inner]
+    body_ = body[np.repeat(at[order] + skip[order], size) + inner]
     at_ = np.concatenate([[0], np.cumsum(size)])
     out, lo, seen, seen_key = [], 0, np.zeros(0, np.uint64), None
     while lo < len(marks_):
