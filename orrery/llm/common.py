@@ -55,7 +55,7 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Record batches cut to about `most` bytes of text each (one row at least), with their bytes and offsets."""
     for batch in batches:
         data, at = column_bytes(batch.column(text))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, mixed, slices
+from .common import mixed, slices
 
 NO_ID = np.iinfo(np.int64).max
 SPAN = np.dtype([("doc", "<i8"), ("var", "<u4"), ("first", "<u4"), ("last", "<u4")])
@@ -41,7 +41,10 @@ def doc_ids(column: pa.Array) -> np.ndarray:
 
 def variants(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """32 bits of each text's hash."""
-    return (Prefix.of_bytes(data)(at[:-1], at[1:]) >> np.uint64(32)).astype(np.uint32)
+    import xxhash
+
+    raw, cut = memoryview(data.tobytes()), at.tolist()
+    return np.fromiter((xxhash.xxh32_intdigest(raw[a:b]) for a, b in zip(cut, cut[1:])), np.uint32, len(cut) - 1)
 
 
 def bucket_of(doc: np.ndarray, var: np.ndarray, buckets: int) -> np.ndarray:
@@ -81,7 +84,7 @@ def texts_in_buckets(df: DataFrame, id_col: str, text_col: str, buckets: int, ca
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch, data, at in slices(batches, "text", 1 << 23):
+        for batch, data, at in slices(batches, "text", 1 << 22):
             doc, var, size = doc_ids(batch.column("id")), variants(data, at), np.diff(at)
             raw = data.tobytes()
             other = batch.select([f"c{i}" for i in range(len(carry))])
