@@ -27,7 +27,7 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g", **options: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -37,6 +37,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(map={k.replace("__", "."): v for k, v in options.items()})
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
