@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,17 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
+_OWN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one where a local session has none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext)
     if not path:
-        path = tempfile.mkdtemp(prefix="orrery-")
+        path = _OWN[spark.sparkContext] = tempfile.mkdtemp(prefix="orrery-")
         atexit.register(shutil.rmtree, path, True)
-        spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
