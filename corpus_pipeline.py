@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import written
+from orrery.llm.common import kept, release, written
 from orrery.llm.decontaminate import leaks
 from orrery.llm.langid import identify
 from orrery.llm.packing import pack
@@ -30,19 +30,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id. Of repeated rows one stays."""
-    groups = written(near_duplicates(docs))
+    groups = kept(near_duplicates(docs))
     copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
+    left = docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
     ids = groups.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("d")).first()
     if ids["n"] != ids["d"]:
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    return left
 
 
 def shared_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings that one with a smaller doc_id holds; those of which nothing stays go."""
-    kept = without_shared(docs, carry=("lang", "source"), characters=True)
-    rows = kept.withColumn("text", F.col("kept").cast("string")).where(~((F.col("n_removed") > 0) & F.col("text").rlike(r"^\s*$")))
+    cut = without_shared(docs, carry=("lang", "source"), characters=True)
+    rows = cut.withColumn("text", F.col("kept").cast("string")).where(~((F.col("n_removed") > 0) & F.col("text").rlike(r"^\s*$")))
     return rows.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
@@ -66,4 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir))
+        release()
     return docs

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,23 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: list[DataFrame] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once however often it is read: on the executors' disks, with its lineage, so that what a lost executor
+    held is made again. Small files in the shared folder are not worth their cost for tables that one operator reads."""
+    df.persist(StorageLevel.DISK_ONLY)
+    _KEPT.append(df)
+    return df
+
+
+def release() -> None:
+    """Drop what `kept` holds: once a result that reads it is written."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session: the operators' own buckets follow the cluster's setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

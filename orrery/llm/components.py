@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import kept, written
+
+ROWS_A_FILE = 250_000
 
 
 def _large(links: DataFrame) -> DataFrame:
@@ -30,12 +32,12 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Nulls and self-links are no links. An empty table gives an empty result.
     """
-    now = written(_small(links.where("a is not null and b is not null and a <> b")))
+    now = kept(_small(links.where("a is not null and b is not null and a <> b")))
     seen = None
     for _ in range(rounds):
         mark = tuple(now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
         if mark == seen or mark[0] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         seen = mark
-        now = written(_small(_large(now)))
+        now = kept(_small(_large(written(now.coalesce(1 + mark[0] // ROWS_A_FILE)))))
     raise RuntimeError("links did not settle")

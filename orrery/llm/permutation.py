@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import kept
 
 PIVOTS = 128
 PREFIX = 64
@@ -82,7 +82,7 @@ def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     clean = sound_rows.where(F.size("v") == dim)
     own = Window.partitionBy("v").orderBy("id")
     firsts = clean.distinct().withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= k + 1)  # more can't be among k
-    classes = written(firsts.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    classes = kept(firsts.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     total = classes.count()
     sample = np.array([r["v"] for r in classes.orderBy(F.xxhash64("v"), "v").select("v").limit(pivots).collect()])
     anchor = _unit(sample)
@@ -98,8 +98,8 @@ def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         out = {"block": pa.array([table.column("block")[0].as_py()], pa.int64()), "rows": pa.array([len(x)], pa.int32())}
         return pa.table(out | {n: pa.array([c.tobytes()], pa.binary()) for n, c in cells.items()})
 
-    index = written(classes.withColumn("first", F.col("ids")[0]).withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks))).groupBy("block").applyInArrow(build, BLOCK_ROW))
-    asked = written(clean.where(F.col("id") % every == 0).distinct())
+    index = kept(classes.withColumn("first", F.col("ids")[0]).withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks))).groupBy("block").applyInArrow(build, BLOCK_ROW))
+    asked = kept(clean.where(F.col("id") % every == 0).distinct())
     count = asked.count()
     slabs = max(1, -(-count // slab))
     parts = []

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Forest, train
-from .common import Prefix, slices, words, written
+from .common import Prefix, kept, slices, words
 
 MAX_TRAIN = 20_000
 _MARKS = b"!#$%&*|.,;:?\"'()[]{}<>=_/\\@^~+-"
@@ -104,10 +104,10 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             x = statistics(data, at)
             yield pa.record_batch({"id": batch.column("id").cast(pa.int64()), "x": pa.array(list(x), pa.list_(pa.float32()))})
 
-    found = written(docs.mapInArrow(count, "id long, x array<float>").withColumn("held_out", F.coalesce(F.expr(held_out), F.lit(False))))
+    found = kept(docs.mapInArrow(count, "id long, x array<float>").withColumn("held_out", F.coalesce(F.expr(held_out), F.lit(False))))
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y is not null and id is not null")
-    kept = marked.where(~F.coalesce(F.expr(held_out), F.lit(False)))
-    chosen = kept.orderBy(F.xxhash64("id"), "id", "y").limit(max_train)  # bounded
+    usable = marked.where(~F.coalesce(F.expr(held_out), F.lit(False)))
+    chosen = usable.orderBy(F.xxhash64("id"), "id", "y").limit(max_train)  # bounded
     sample = found.where("not held_out").join(F.broadcast(chosen), "id").select("x", "y").limit(2 * max_train).toArrow()
     x = np.array(sample.column("x").to_pylist(), np.float32).reshape(-1, FEATURES)
     forest: Forest = train(x, sample.column("y").to_numpy().astype(float))

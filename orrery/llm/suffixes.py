@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, mixed, partitions, slices, written
+from .common import Prefix, kept, mixed, partitions, slices
 from .gsaca import suffix_array
 from .spans import by_bucket, bucket_of, covered, doc_ids, merged, pack, read_texts, span_rows, texts_in_buckets, unpack, variants, with_spans
 
@@ -274,7 +274,7 @@ def without_shared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield from _keyed(batch, data, at, width, gram, parts)
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(emit, _ROW)
-    told = written(rows.groupBy("part").applyInArrow(lambda t: _told_apart(t, parts), "kind int, bucket int, blob binary"))
+    told = kept(rows.groupBy("part").applyInArrow(lambda t: _told_apart(t, parts), "kind int, bucket int, blob binary"))
     marks = told.where("kind = 2").select("bucket", "blob")
     texts = texts_in_buckets(df, id_col, text_col, parts)
     found = texts.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(lambda t, m: _fetched(t, m, width, gram), "part int, blob binary")

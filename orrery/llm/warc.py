@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, with_heavy, written
+from .common import kept, partitions, with_heavy, written
 
 CHUNK = 1 << 18
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -114,7 +114,7 @@ def write_archive(pages: DataFrame, min_revisit_bytes: int = 0, chunk: int = CHU
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.coalesce(F.encode(F.col("html"), "UTF-8"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    small = written(rows.select("page_id", "digest", F.octet_length("payload").cast("long").alias("size")))
+    small = kept(rows.select("page_id", "digest", F.octet_length("payload").cast("long").alias("size")))
     heads = small.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n"))
     named = with_heavy(small, heads, "digest", "n")
     refers = named.where("head is not null and (page_id is null or page_id <> head)").select("page_id", "digest", F.col("head")).distinct()
