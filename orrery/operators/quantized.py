@@ -118,3 +118,17 @@ def pq_candidates(coded: DataFrame, book: Codebook, query: Sequence[float], metr
         return pd.Series(shared.value[np.arange(own.shape[1])[None], own].sum(1))
 
     return coded.withColumn("_near", score(F.col(codes))).orderBy(F.desc("_near"), "namespace", "id").limit(count).drop("_near")
+
+
+def component_ranges(records: DataFrame, column: str = "vector") -> DataFrame:
+    """(at, low, step): the least value of each component and the width of its 255 steps; a row a component."""
+    each = records.where(F.col(column).isNotNull()).select(F.posexplode(F.col(column).cast("array<double>")).alias("at", "x"))
+    return each.groupBy("at").agg(F.min("x").alias("low"), ((F.max("x") - F.min("x")) / 255).alias("step"))
+
+
+def with_component_codes(records: DataFrame, ranges: DataFrame, column: str = "vector", codes: str = "codes") -> DataFrame:
+    """Adds 0..255 for each component by its range; components that do not vary are 0."""
+    rows = ranges.orderBy("at").collect()  # one a dimension
+    low, step = F.array(*[F.lit(r["low"]) for r in rows]), F.array(*[F.lit(r["step"]) for r in rows])
+    code = F.transform(F.arrays_zip(F.col(column).cast("array<double>").alias("x"), low.alias("l"), step.alias("s")), lambda c: F.when(c["s"] == 0, 0).otherwise(F.round((c["x"] - c["l"]) / c["s"]).cast("int")).cast("smallint"))
+    return records.withColumn(codes, code)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model as M
+from ..functions import routing
 from ..functions import vectors as V
 from ..operators import filters, graph, lexical, quantized, shape
 
@@ -90,9 +91,9 @@ class Collection:
         first = pooled.orderBy(*best_first()).limit(count)
         return shape.rescored(first, self.records, column, spec.metric, many).select(*RESULT).orderBy(*best_first()).limit(k)
 
-    def hybrid(self, k: int, vector=None, sparse_vector=None, text: str = "", alpha: float | None = None, fusion: str = "weighted", namespace: str = "", filter: Mapping | None = None, scope: str = "global") -> DataFrame:
+    def hybrid(self, k: int, vector=None, sparse_vector=None, text: str = "", alpha: float | None = None, fusion: str = "weighted", namespace: str = "", filter: Mapping | None = None) -> DataFrame:
         """Each signal's best, fused. Weighted: every candidate's scores under all signals, joined back for the candidates
-        only. rrf: reciprocal ranks in the signals' own lists. `scope` 'shard' ranks within `shard` partitions."""
+        only. rrf: reciprocal ranks in the signals' own lists, over the whole collection."""
         if sparse_vector is None and not text:
             raise M.InvalidArgument("hybrid search needs sparse_vector or text")
         if fusion not in ("", "weighted", "rrf"):
@@ -214,13 +215,16 @@ class Collection:
             raise M.NotFound(id)
         return found
 
-    def scroll(self, limit: int = M.DEFAULT_PAGE, namespace: str = "", after: tuple[str, str] | None = None, include_vector: bool = False) -> DataFrame:
-        """A page of records in key order after a key; an empty namespace means all. Only the default vector is left out."""
+    def scroll(self, limit: int = M.DEFAULT_PAGE, namespace: str = "", after: tuple[str, str] | None = None, include_vector: bool = False, shard: int | None = None) -> DataFrame:
+        """A page of records in key order after a key; an empty namespace means all. Only the default vector is left out.
+        A shard number keeps the keys of one logical shard."""
         M.between("limit", limit, 1, M.MAX_PAGE)
         rows = self.records if not namespace else self.records.where(F.col("namespace") == namespace)
         if after is not None:
             ns, key = after
             rows = rows.where((F.col("namespace") > ns) | ((F.col("namespace") == ns) & (F.col("id") > key)))
+        if shard is not None:
+            rows = rows.where(routing.shard(F.col("namespace"), F.col("id"), self.config.shard_count) == shard)
         if not include_vector:
             rows = rows.drop("vector")
         return rows.orderBy("namespace", "id").limit(limit)

@@ -314,6 +314,14 @@ class Store:
         self._point(name, {"base": version, "lsn": top, "checkpoint": top, "batches": [], "versions": 1})
         return name
 
+    def install(self, name: str, records: DataFrame, lsn: int) -> None:
+        """Replace a collection's records by another replica's, taken at a sequence number."""
+        state, schema, version = self._state(name), self.describe(name).record_schema(), uuid.uuid4().hex
+        if lsn < state["lsn"]:
+            raise M.Compacted(f"{name} is at {state['lsn']}")
+        records.select(*schema.names).write.parquet(f"{self.root}/{name}/base/{version}")
+        self._point(name, state | {"base": version, "lsn": lsn, "checkpoint": lsn, "batches": [], "versions": state["versions"] + 1})
+
     @staticmethod
     def _sums(records: DataFrame) -> dict:
         cells = [F.to_json(F.struct(F.col(f.name).alias("v"))) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in records.schema]

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery import model as M
-from orrery.operators import control, memory
-from orrery.sources import imports
+from orrery.functions import routing
+from orrery.operators import control, memory, quantized
+from orrery.sources import adapters, imports
 from orrery.sources.store import Store, decode_cursor, encode_cursor
 from orrery.streaming import changelog
 
@@ -194,3 +195,48 @@ def test_streams(spark, tmp_path):
 def test_payload_is_json(store):
     store.upsert("t", [{"id": "a", "vector": [1, 0], "payload": {"x": [1, 2]}}])
     assert json.loads(store.open("t").get("a").first()["payload"]) == {"x": [1, 2]}
+
+
+def test_shards_and_installed_replicas(spark, store):
+    assert routing.fnv1a(b"") == 0xCBF29CE484222325 and routing.fnv1a(b"a") == 0xAF63DC4C8601EC8C
+    keys = [(n, k) for n in ("", "tenant", "é") for k in ("a", "bb", "c" * 40)]
+    df = spark.createDataFrame(keys, "namespace string, id string").withColumn("s", routing.shard(F.col("namespace"), F.col("id"), 7))
+    assert all(r["s"] == routing.shard_of(r["namespace"], r["id"], 7) for r in df.collect())
+    store.upsert("t", [{"id": str(i), "vector": [i, 0]} for i in range(20)])
+    pages = [[r["id"] for r in store.open("t").scroll(50, shard=s).collect()] for s in (0, 1)]
+    assert sorted(sum(pages, [])) == sorted(map(str, range(20))) and all(routing.shard_of("", i, 2) == s for s, p in enumerate(pages) for i in p)
+    store.install("t", store.records("t").where("id = '3'"), 99)
+    assert live(store) == {"3": [3, 0]}
+    with pytest.raises(M.Compacted):
+        store.install("t", store.records("t"), 5)
+
+
+def test_component_codes(spark):
+    df = spark.createDataFrame([([0.0, 5.0],), ([51.0, 5.0],), ([255.0, 5.0],)], "vector array<float>")
+    out = quantized.with_component_codes(df, quantized.component_ranges(df))
+    assert [list(r["codes"]) for r in out.orderBy(F.col("vector")[0]).collect()] == [[0, 0], [51, 0], [255, 0]]
+
+
+def test_item_and_text_stores(spark, tmp_path):
+    s, now = Store(spark, str(tmp_path / "i")), [1_000_000.0]
+    for name in ("items", "texts"):
+        s.create(M.CollectionConfig(name, 16))
+    items = adapters.ItemStore(s, "items", memory.HashEmbedder(16), lambda: now[0])
+    items.put(("users", "alice"), "likes", {"drink": "coffee", "n": 2})
+    items.put(("users", "bob"), "likes", {"drink": "tea", "n": 1}, ttl=1)
+    now[0] += 5
+    items.put(("users", "alice"), "likes", {"drink": "coffee", "n": 3})
+    assert items.get(("users", "alice"), "likes")["value"]["n"] == 3
+    assert items.get(("users", "alice"), "likes")["created_at"] < items.get(("users", "alice"), "likes")["updated_at"]
+    assert [i["value"]["drink"] for i in items.search(("users",), conditions={"n": {"$lt": 3}})] == ["tea"]
+    assert items.search(("users", "alice"), "coffee")[0]["key"] == "likes"
+    assert items.namespaces(max_depth=1) == [("users",)]
+    now[0] += 100
+    assert items.get(("users", "bob"), "likes") is None and items.namespaces() == [("users", "alice")]
+    items.put(("users", "alice"), "likes", None)
+    assert items.search() == []
+    texts = adapters.TextStore(s, "texts", memory.HashEmbedder(16))
+    a, b = texts.add(["red apples", "green pears"], [{"k": 1}, {"k": 2}])
+    assert texts.search("red apples", 1)[0][:3] == (a, "red apples", {"k": 1}) and texts.search("red", 2, {"k": 2})[0][0] == b
+    texts.delete([a])
+    assert len(texts.search("red", 5)) == 1
