@@ -8,18 +8,17 @@ A background language with uniform trigrams takes what is no language at all; ro
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, with_heavy, written
+from .common import kept, slices, with_heavy
 
 BUCKETS = 1 << 15
 PER_LANGUAGE = 2000
 MOST_LANGUAGES = 200
+LEAST_ROWS = 5
 BACKGROUND = "und"
 #: Address suffixes that speak for a language.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en"}
@@ -46,10 +45,10 @@ def trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(labelled: DataFrame, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """(languages, log likelihood [bucket, language]) from at most `per_language` rows of each declared language.
 
-    The rows are those with the smallest hash of the text. The last language is the background.
+    The rows are those with the smallest hash of the text; a language that fewer than LEAST_ROWS declare is none. The last language is the background.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.lower(F.col(lang_col)).alias("lang")).where("text is not null and lang is not null and lang <> ''")
-    frequent = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]  # bounded
+    frequent = [r["lang"] for r in rows.groupBy("lang").count().where(F.col("count") >= LEAST_ROWS).orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]  # bounded
     languages = sorted(frequent)
     order = Window.partitionBy("lang").orderBy("hash")
     picked = rows.where(F.col("lang").isin(languages)).select("lang", F.xxhash64("text").alias("hash")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("lang", "hash").distinct()
@@ -87,14 +86,15 @@ def _text_scores(df: DataFrame, model: tuple[list[str], np.ndarray], weight: flo
             ll = (total[before[1:]] - total[before[:-1]]) * (np.minimum(n, weight) / np.maximum(n, 1))[:, None]
             yield pa.record_batch({**{c: batch.column(c) for c in batch.schema.names if c != "text"}, "ll": pa.array(list(ll), pa.list_(pa.float64()))})
 
-    kept = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in df.columns if c != "text")
-    return df.mapInArrow(score, f"{kept}, ll array<double>")
+    fields = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in df.columns if c != "text")
+    return df.mapInArrow(score, f"{fields}, ll array<double>")
 
 
-def _softmax(parts: list[Column]) -> list[Column]:
-    top = F.greatest(*parts) if len(parts) > 1 else parts[0]
-    whole = reduce(lambda a, b: a + b, [F.exp(p - top) for p in parts])
-    return [F.exp(p - top) / whole for p in parts]
+def _softmax(df: DataFrame, logs: str, out: str) -> DataFrame:
+    """Adds an array of probabilities for an array of logarithms."""
+    raised = df.withColumn("_e", F.transform(logs, lambda x: F.exp(x - F.array_max(logs))))
+    summed = raised.withColumn("_t", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
+    return summed.withColumn(out, F.transform("_e", lambda x: x / F.col("_t"))).drop("_e", "_t")
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, labelled: DataFrame | None = None, per_language: int = PER_LANGUAGE, weight: float = 60.0, trust: float = 0.9, certain: float = 0.5) -> DataFrame:
@@ -112,11 +112,10 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
     model = fit(df if labelled is None else labelled, "text" if labelled is not None else text_col, "lang", per_language)
     names = model[0]
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.substring_index(F.substring_index(own(declared), "-", 1), "_", 1).alias("declared"), own(suffix).alias("suffix"), own(host).alias("host"))
-    scored = written(_text_scores(rows, model, weight))
-    ll = [F.col("ll")[i] for i in range(len(names))]
-    soft = scored.select("host", "suffix", *[p.alias(f"p{i}") for i, p in enumerate(_softmax(ll))])
+    scored = kept(_text_scores(rows, model, weight))
+    soft = _softmax(scored, "ll", "p").select("host", "suffix", *[F.col("p")[i].alias(f"p{i}") for i in range(len(names))])
     sums = [F.sum(f"p{i}").alias(f"p{i}") for i in range(len(names))]
-    per_host = written(soft.groupBy("host", "suffix").agg(F.count("*").alias("n"), *sums))  # map-side sums: a hot host is one row a task
+    per_host = kept(soft.groupBy("host", "suffix").agg(F.count("*").alias("n"), *sums))  # map-side sums: a hot host is one row a task
     per_suffix = per_host.groupBy("suffix").agg(F.sum("n").alias("sn"), *[F.sum(f"p{i}").alias(f"s{i}") for i in range(len(names))])
     every = per_host.agg(F.sum("n").alias("n"), *sums).first()
     base = [((every[f"p{i}"] or 0.0) + 1) / ((every["n"] or 0) + len(names)) for i in range(len(names))]
@@ -129,8 +128,9 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
     others = max(1, len(names) - 1)
     says = lambda heard, i, sure: F.when(heard.isNull() | ~heard.isin(names[:-1]), 0.0).when(heard == names[i], float(np.log(sure))).otherwise(float(np.log((1 - sure) / others)))
     prior_of = [F.coalesce(F.col("prior")[i], F.lit(base[i])) for i in range(len(names))]
-    fused = [ll[i] + says(F.col("declared"), i, trust) + says(spoken, i, 0.7) + F.log(prior_of[i]) for i in range(len(names))]
-    post = priors.select("id", "ll", F.array(*prior_of).alias("prior"), F.array(*_softmax(fused)).alias("post"))
+    fused = [F.col("ll")[i] + says(F.col("declared"), i, trust) + says(F.col("spoken"), i, 0.7) + F.log(F.col("fair")[i]) for i in range(len(names))]
+    fair = priors.select("id", "ll", "declared", spoken.alias("spoken"), F.array(*prior_of).alias("fair"))
+    post = _softmax(fair.select("id", "ll", F.col("fair").alias("prior"), F.array(*fused).alias("fused")), "fused", "post")
     best = lambda c: F.array_position(F.col(c), F.array_max(c)).cast("int")
     named = post.withColumn("best", best("post")).withColumn("text_best", best("ll"))
     empty = F.forall("ll", lambda x: x == 0)
