@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .decontaminate import leaks
 from .langid import identify, page_evidence
+from .oracles import ORACLES  # noqa: F401
 from .packing import pack
 from .permutation import neighbours
 from .quality import quality_scores
@@ -73,4 +74,3 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_langid, op2_quality, op3_warc, op4_transducer, op5_permutation, op6_packing, op7_recompression, op8_decontaminate, op9_suffixes, op10_simhash, langid_pages)}
-ORACLES: dict[str, str] = {}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, with_heavy, words, written
+from .common import kept, partitions, slices, with_heavy, words
 from .components import components
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -139,12 +139,12 @@ BULK = 2048
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch], max_bits: int, segments: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket key -> links (a, b) of nodes; a bucket is looked at once it is whole."""
+    """Rows sorted by bucket key -> links (a, b) of fingerprints; a bucket is looked at once it is whole."""
     held: list[pa.RecordBatch] = []
 
     def links(table: pa.Table) -> pa.RecordBatch:
-        key, prints, node, start = (table.column(c).to_numpy() for c in ("key", "print", "node", "start"))
-        prints = prints.view(np.uint64)
+        key, prints, start = (table.column(c).to_numpy() for c in ("key", "print", "start"))
+        node, prints = prints, prints.view(np.uint64)
         cut = np.flatnonzero(np.diff(key)) + 1
         sizes = np.diff(np.concatenate([[0], cut, [len(key)]]))
         large = np.repeat(sizes > BULK, sizes) if max_bits <= 2 else np.zeros(len(key), bool)
@@ -191,8 +191,8 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch, data, at in slices(batches, "text"):
             yield pa.record_batch({"id": batch.column("id").cast(pa.int64()), "print": pa.array(fingerprints(data, at, width).view(np.int64))})
 
-    docs = written(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(prints, "id long, print long"))
-    nodes = written(docs.groupBy("print").agg(F.min("id").alias("node"), F.count("*").alias("n")))
+    docs = kept(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(prints, "id long, print long"))
+    nodes = kept(docs.groupBy("print").agg(F.min("id").alias("node"), F.count("*").alias("n")))
     cut, equal = ring(max_bits, segments)
     keys = []
     for i in range(segments):
@@ -200,11 +200,12 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for a, b in (cut[(i + j) % segments] for j in range(equal)):
             key = F.shiftleft(key, b - a).bitwiseOR(F.shiftrightunsigned("print", a).bitwiseAND(F.lit((1 << (b - a)) - 1)))
         keys.append(F.struct(F.lit(i).alias("start"), key.alias("key")))
-    boxes = nodes.where("node is not null").select("node", "print", F.explode(F.array(*keys)).alias("box")).select("node", "print", "box.start", "box.key")
+    boxes = nodes.select("print", F.explode(F.array(*keys)).alias("box")).select("print", "box.start", "box.key")
     dealt = boxes.repartition(partitions(spark), "key").sortWithinPartitions("key", "print")
     links = dealt.mapInArrow(lambda x: _bucket_links(x, max_bits, segments), "a long, b long")
-    comp = components(links)
-    named = nodes.join(comp, nodes.node == comp.node, "left").select("print", "n", F.coalesce("component", nodes.node).alias("component_id"))
+    label = nodes.join(components(links).withColumnRenamed("node", "print"), "print", "left").select("print", "n", "node", F.coalesce("component", "print").alias("component"))
+    least = label.groupBy("component").agg(F.min("node").alias("component_id"))
+    named = label.join(least, "component").select("print", "n", "component_id")
     out = with_heavy(docs, named, "print", "n")
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -308,7 +309,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     almost all cases: it finds the candidates, in buckets of the pigeonring, among texts whose sizes allow the similarity.
     Each text keeps its nearest candidate with a smaller and with a larger id; these links are checked on the shingles
     (on the SKETCH least hashes of longer sets) before they count. Texts of the same lowered words are one; so are blank
-    and null texts. Rows with a null id are left out. Repeated rows each come back; other columns are not read; an empty
+    and null texts. Rows that share an id are one text. Rows with a null id are left out. Repeated rows each come back; other columns are not read; an empty
     table gives an empty result.
     """
     spark = df.sparkSession
@@ -319,8 +320,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             digest, prints, sizes = _measured(data, at, print_width, width)
             yield pa.record_batch({"id": batch.column("id"), "digest": pa.array(digest, pa.binary()), "print": pa.array(prints.view(np.int64)), "size": pa.array(sizes)})
 
-    docs = written(rows.mapInArrow(measure, "id long, digest binary, print long, size long"))
-    nodes = written(docs.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.first("print").alias("print"), F.first("size").alias("size")))
+    docs = kept(rows.mapInArrow(measure, "id long, digest binary, print long, size long"))
+    nodes = kept(docs.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.first("print").alias("print"), F.first("size").alias("size")))
     cut, equal = ring(max_bits, segments)
     keys = []
     for i in range(segments):
@@ -335,7 +336,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     dealt = boxes.repartition(partitions(spark), "key").sortWithinPartitions("key", "size", "node")
     near = dealt.mapInArrow(lambda x: _nearest(x, max_bits, segments, similarity), "node long, side long, bits long, other long")
     links = near.groupBy("node", "side").agg(F.min(F.struct("bits", "other")).alias("m")).select(F.greatest("node", "m.other").alias("a"), F.least("node", "m.other").alias("b")).distinct()
-    links = written(links)
+    links = kept(links)
     ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
 
     def draw(batches):
@@ -344,7 +345,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.record_batch({"id": batch.column("id"), "sketch": pa.array([sketch(raw[a:b], width) for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
     drawn = rows.join(ends, "id", "left_semi").mapInArrow(draw, "id long, sketch binary").groupBy("id").agg(F.min("sketch").alias("sketch"))
-    drawn = written(drawn)
+    drawn = kept(drawn)
     paired = links.join(drawn.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(drawn.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
 
     def alike(batches):
