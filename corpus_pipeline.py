@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import kept, release, written
+from orrery.llm.common import release, settled, written
 from orrery.llm.decontaminate import leaks
 from orrery.llm.langid import identify
 from orrery.llm.packing import pack
@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id. Of repeated rows one stays."""
-    groups = kept(near_duplicates(docs))
+    groups = settled(near_duplicates(docs))
     copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
     ids = groups.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("d")).first()

@@ -52,6 +52,18 @@ def kept(df: DataFrame) -> DataFrame:
     return df
 
 
+ROWS_A_FILE = 50_000
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once by as many tasks as it has, then written as a file for each ROWS_A_FILE rows and read back. Later
+    plans begin at these files, so that they stay small however long the way to df was."""
+    held = df.persist(StorageLevel.DISK_ONLY)
+    out = written(held.coalesce(1 + held.count() // ROWS_A_FILE))
+    held.unpersist()
+    return out
+
+
 def release() -> None:
     """Drop what `kept` holds: once a result that reads it is written."""
     while _KEPT:

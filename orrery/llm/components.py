@@ -9,9 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, written
-
-ROWS_A_FILE = 250_000
+from .common import settled
 
 
 def _large(links: DataFrame) -> DataFrame:
@@ -27,17 +25,21 @@ def _small(links: DataFrame) -> DataFrame:
     return kept.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether each node has one link, and that to a node without any: then links lead to the smallest of a component."""
+    many = links.groupBy("a").count().where("count > 1").select("a")
+    inner = links.select("a").join(links.select(F.col("b").alias("a")), "a", "left_semi")
+    return many.unionAll(inner).isEmpty()
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b) links -> (node, component): for every linked node but a component's smallest, that smallest node.
 
     Nulls and self-links are no links. An empty table gives an empty result.
     """
-    now = kept(_small(links.where("a is not null and b is not null and a <> b")))
-    seen = None
+    now = settled(_small(settled(links.where("a is not null and b is not null and a <> b"))))
     for _ in range(rounds):
-        mark = tuple(now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
-        if mark == seen or mark[0] == 0:
+        if _stars(now):
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        seen = mark
-        now = kept(_small(_large(written(now.coalesce(1 + mark[0] // ROWS_A_FILE)))))
+        now = settled(_small(_large(now)))
     raise RuntimeError("links did not settle")

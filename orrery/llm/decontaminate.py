@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import settled
 
 WORDS = 8
 LITERALS = 5
@@ -72,7 +72,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     raw, shape = template(F.col("t"))
     items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("t")).where("t is not null and item is not null").distinct()
-    items = kept(items.select("item", raw.alias("item_raw"), shape.alias("item_shape")).where(F.size("item_shape") > 0))
+    items = settled(items.select("item", raw.alias("item_raw"), shape.alias("item_shape")).where(F.size("item_shape") > 0))
     literal = F.filter("piece", lambda x: ~F.startswith(x, F.lit("<")))
     short = {r["n"] for r in items.select(F.size("item_shape").alias("n")).where(F.col("n") < words).distinct().collect()}  # under `words` values
     widths = sorted({words, *short})
@@ -82,7 +82,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         hashed = _windows(fits.select("item", F.col("item_shape").alias("shape")), n).withColumnRenamed("pos", "at")
         placed = hashed.join(items.select("item", "item_shape"), "item").withColumn("piece", F.slice("item_shape", F.col("at"), F.lit(n)))
         parts.append(placed.where(F.size(literal) >= literals).select("item", F.lit(n).alias("width"), "at", "hash"))
-    spots = kept(reduce(DataFrame.unionAll, parts))
+    spots = settled(reduce(DataFrame.unionAll, parts))
     wanted = spots.groupBy("hash", "width").agg(F.collect_list(F.struct("item", "at")).alias("spots"))
     count = spots.count()
     side = F.broadcast(wanted) if count <= MOST_BROADCAST else wanted
@@ -90,7 +90,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     shaped = rows.select("id", shape.alias("shape"))  # a column of its own: worked out once a text
     found = reduce(DataFrame.unionAll, [_windows(shaped, n).select("id", "hash", F.lit(n).alias("width"), "pos") for n in widths])
     hits = found.join(side, ["hash", "width"]).select("id", "width", "pos", F.explode("spots").alias("s")).select("id", F.col("s.item").alias("item"), F.struct("width", "pos", F.col("s.at").alias("at")).alias("m"))
-    pairs = kept(hits.groupBy("id", "item").agg(F.collect_set("m").alias("ms")))  # at most a text's words times an item's
+    pairs = settled(hits.groupBy("id", "item").agg(F.collect_set("m").alias("ms")))  # at most a text's words times an item's
     ids = pairs.select(F.col("id").alias("pid")).distinct()
     texts = rows.join(ids, F.col("id").eqNullSafe(F.col("pid")), "left_semi").select("id", raw.alias("raw"), shape.alias("shape"))
     joined = texts.join(pairs.withColumnRenamed("id", "pid"), F.col("id").eqNullSafe(F.col("pid"))).join(items, "item")

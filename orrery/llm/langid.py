@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, slices, with_heavy
+from .common import settled, slices, with_heavy
 
 BUCKETS = 1 << 15
 PER_LANGUAGE = 2000
@@ -42,17 +42,20 @@ def trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((key[place] * np.uint32(0x9E3779B1)) >> np.uint32(17)).astype(np.int64), np.searchsorted(place, at)
 
 
-def fit(labelled: DataFrame, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """(languages, log likelihood [bucket, language]) from at most `per_language` rows of each declared language.
+def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
+    """(languages, log likelihood [bucket, language]) from about `per_language` rows of each declared language.
 
-    The rows are those with the smallest hash of the text; a language that fewer than LEAST_ROWS declare is none. The last language is the background.
+    A row is in the sample if the hash of its id and text falls below its language's share: a filter, so no row travels to
+    be ranked and the sample stays of one size however many rows there are. A language that fewer than LEAST_ROWS declare is
+    none. The last language is the background.
     """
-    rows = labelled.select(F.col(text_col).alias("text"), F.lower(F.col(lang_col)).alias("lang")).where("text is not null and lang is not null and lang <> ''")
-    frequent = [r["lang"] for r in rows.groupBy("lang").count().where(F.col("count") >= LEAST_ROWS).orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]  # bounded
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lower(F.col(lang_col)).alias("lang")).where("text is not null and lang is not null and lang <> ''")
+    frequent = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().where(F.col("count") >= LEAST_ROWS).orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}  # bounded
     languages = sorted(frequent)
-    order = Window.partitionBy("lang").orderBy("hash")
-    picked = rows.where(F.col("lang").isin(languages)).select("lang", F.xxhash64("text").alias("hash")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("lang", "hash").distinct()
-    sample = rows.withColumn("hash", F.xxhash64("text")).join(F.broadcast(picked), ["lang", "hash"], "left_semi")
+    if not languages:
+        return [BACKGROUND], np.full((BUCKETS, 1), -np.log(BUCKETS), np.float32)
+    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / frequent[lang]))])
+    sample = rows.where(F.col("lang").isin(languages)).where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30)).select("text", "lang")
 
     def count(batches):
         total = np.zeros((len(languages), BUCKETS), np.int64)
@@ -64,7 +67,7 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, per_language: int = P
         i, j = np.nonzero(total)
         yield pa.record_batch({"lang": pa.array(i, pa.int32()), "bucket": pa.array(j, pa.int32()), "n": pa.array(total[i, j])})
 
-    counted = sample.select("text", "lang").mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x BUCKETS at most
+    counted = sample.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x BUCKETS at most
     table = np.zeros((BUCKETS, len(languages) + 1))
     table[counted.column("bucket").to_numpy(), counted.column("lang").to_numpy()] = counted.column("n").to_numpy()
     smooth = 0.05
@@ -100,7 +103,7 @@ def _softmax(df: DataFrame, logs: str, out: str) -> DataFrame:
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, labelled: DataFrame | None = None, per_language: int = PER_LANGUAGE, weight: float = 60.0, trust: float = 0.9, certain: float = 0.5) -> DataFrame:
     """Per row: doc_id, lang, posterior, text_lang, host_prior (of lang), accepted.
 
-    `labelled` (text, lang; df itself with its `lang` column if None) fits the likelihoods. `weight` is how many trigrams
+    `labelled` (the id, text, lang; df itself with its `lang` column if None) fits the likelihoods. `weight` is how many trigrams
     a text counts for at most, as neighbours are not independent. A row is rejected if the background is likeliest or no
     language reaches `certain`. Null or empty texts, and texts without letters, have no language of their own and are
     rejected whatever is declared. Null or unknown declarations, suffixes and hosts say nothing: the next level's prior
@@ -109,13 +112,13 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
     """
     nothing = F.lit(None).cast("string")
     own = lambda c: nothing if c is None else F.lower(c.cast("string"))
-    model = fit(df if labelled is None else labelled, "text" if labelled is not None else text_col, "lang", per_language)
+    model = fit(df if labelled is None else labelled, id_col, "text" if labelled is not None else text_col, "lang", per_language)
     names = model[0]
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.substring_index(F.substring_index(own(declared), "-", 1), "_", 1).alias("declared"), own(suffix).alias("suffix"), own(host).alias("host"))
-    scored = kept(_text_scores(rows, model, weight))
+    scored = settled(_text_scores(rows, model, weight))
     soft = _softmax(scored, "ll", "p").select("host", "suffix", *[F.col("p")[i].alias(f"p{i}") for i in range(len(names))])
     sums = [F.sum(f"p{i}").alias(f"p{i}") for i in range(len(names))]
-    per_host = kept(soft.groupBy("host", "suffix").agg(F.count("*").alias("n"), *sums))  # map-side sums: a hot host is one row a task
+    per_host = settled(soft.groupBy("host", "suffix").agg(F.count("*").alias("n"), *sums))  # map-side sums: a hot host is one row a task
     per_suffix = per_host.groupBy("suffix").agg(F.sum("n").alias("sn"), *[F.sum(f"p{i}").alias(f"s{i}") for i in range(len(names))])
     every = per_host.agg(F.sum("n").alias("n"), *sums).first()
     base = [((every[f"p{i}"] or 0.0) + 1) / ((every["n"] or 0) + len(names)) for i in range(len(names))]

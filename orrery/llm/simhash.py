@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, partitions, slices, with_heavy, words
+from .common import partitions, settled, slices, with_heavy, words
 from .components import components
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -191,8 +191,8 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch, data, at in slices(batches, "text"):
             yield pa.record_batch({"id": batch.column("id").cast(pa.int64()), "print": pa.array(fingerprints(data, at, width).view(np.int64))})
 
-    docs = kept(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(prints, "id long, print long"))
-    nodes = kept(docs.groupBy("print").agg(F.min("id").alias("node"), F.count("*").alias("n")))
+    docs = settled(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(prints, "id long, print long"))
+    nodes = settled(docs.groupBy("print").agg(F.min("id").alias("node"), F.count("*").alias("n")))
     cut, equal = ring(max_bits, segments)
     keys = []
     for i in range(segments):
@@ -320,8 +320,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             digest, prints, sizes = _measured(data, at, print_width, width)
             yield pa.record_batch({"id": batch.column("id"), "digest": pa.array(digest, pa.binary()), "print": pa.array(prints.view(np.int64)), "size": pa.array(sizes)})
 
-    docs = kept(rows.mapInArrow(measure, "id long, digest binary, print long, size long"))
-    nodes = kept(docs.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.first("print").alias("print"), F.first("size").alias("size")))
+    docs = settled(rows.mapInArrow(measure, "id long, digest binary, print long, size long"))
+    nodes = settled(docs.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.first("print").alias("print"), F.first("size").alias("size")))
     cut, equal = ring(max_bits, segments)
     keys = []
     for i in range(segments):
@@ -336,7 +336,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     dealt = boxes.repartition(partitions(spark), "key").sortWithinPartitions("key", "size", "node")
     near = dealt.mapInArrow(lambda x: _nearest(x, max_bits, segments, similarity), "node long, side long, bits long, other long")
     links = near.groupBy("node", "side").agg(F.min(F.struct("bits", "other")).alias("m")).select(F.greatest("node", "m.other").alias("a"), F.least("node", "m.other").alias("b")).distinct()
-    links = kept(links)
+    links = settled(links)
     ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
 
     def draw(batches):
@@ -345,7 +345,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.record_batch({"id": batch.column("id"), "sketch": pa.array([sketch(raw[a:b], width) for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
     drawn = rows.join(ends, "id", "left_semi").mapInArrow(draw, "id long, sketch binary").groupBy("id").agg(F.min("sketch").alias("sketch"))
-    drawn = kept(drawn)
+    drawn = settled(drawn)
     paired = links.join(drawn.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(drawn.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
 
     def alike(batches):
