@@ -27,13 +27,15 @@ _LOWER[65:91] += 32
 
 
 def trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the byte trigrams that lie within a text and hold a letter or high byte, and how many precede each text."""
+    """Buckets of the byte trigrams that lie within a text and hold a letter or high byte and no digit, and how many precede
+    each text."""
     if len(data) < 3:
         return np.zeros(0, np.int64), np.zeros(len(at), np.int64)
     low = _LOWER[data].astype(np.uint32)
     key = low[:-2] | low[1:-1] << 8 | low[2:] << 16
     letter = ((low >= 97) & (low <= 122)) | (low >= 128)
-    keep = letter[:-2] | letter[1:-1] | letter[2:]
+    digit = (low >= 48) & (low <= 57)  # numbers and codes are of no language
+    keep = (letter[:-2] | letter[1:-1] | letter[2:]) & ~(digit[:-2] | digit[1:-1] | digit[2:])
     edge = at[1:-1]
     for back in (1, 2):
         cut = edge - back
