@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, settled, slices, with_heavy, words
+from .common import Prefix, partitions, settled, slices, with_heavy, words
 from .components import components
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -210,9 +210,6 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-SKETCH = 512
-
-
 def _measured(data: np.ndarray, at: np.ndarray, print_width: int, width: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Of each text: a digest of its lowered words, the fingerprint of its distinct short shingles, and how many distinct
     long ones it has."""
@@ -234,24 +231,32 @@ def _measured(data: np.ndarray, at: np.ndarray, print_width: int, width: int) ->
     return digest, np.array(prints, np.uint64), np.array(sizes, np.int64)
 
 
-def sketch(text: bytes, width: int, most: int = SKETCH) -> bytes:
-    """The least `most` 32-bit hashes of a text's distinct shingles, ascending; all of them if there are no more."""
-    import xxhash
+def _sets(data: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
+    """The 64-bit hashes of the distinct shingles of each text, ascending; a text of fewer words is one shingle."""
+    data = _LOWER[data]
+    starts, ends, first = words(data, at)
+    each = Prefix.of_bytes(data)(starts, ends)
+    count = np.diff(first)
+    many = np.where(count >= width, count - width + 1, np.minimum(count, 1))
+    before = np.concatenate([[0], np.cumsum(many)])
+    begin = np.repeat(first[:-1], many) + np.arange(before[-1]) - np.repeat(before[:-1], many)
+    hashes = Prefix(each)(begin, np.minimum(begin + width, np.repeat(first[1:], many)))
+    cuts = before.tolist()
+    return [np.unique(hashes[a:b]) for a, b in zip(cuts, cuts[1:])]
+
 
-    own = bytes(_LOWER[np.frombuffer(text, np.uint8)]).split()
-    hashes = {xxhash.xxh32_intdigest(b" ".join(own[i : i + width])) for i in range(max(1, len(own) - width + 1))} if own else set()
-    return np.sort(np.fromiter(hashes, np.uint32, len(hashes)))[:most].astype("<u4").tobytes()
+def sketch(text: bytes, width: int) -> bytes:
+    """The hashes of all distinct shingles of a text, ascending."""
+    return _sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), width)[0].astype("<u8").tobytes()
 
 
-def resemblance(a: bytes, b: bytes, most: int = SKETCH) -> float:
-    """The Jaccard similarity of two shingle sets from their sketches; exact for sets that the sketches hold whole."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    both = np.union1d(x, y)
-    if len(x) == most or len(y) == most:
-        both = both[:most]
-    if not len(both):
+def resemblance(a: bytes, b: bytes) -> float:
+    """The Jaccard similarity of two shingle sets."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    if not len(x) + len(y):
         return 1.0
-    return float(np.isin(both, np.intersect1d(x, y)).mean())
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
 
 
 def _nearest(batches: Iterator[pa.RecordBatch], max_bits: int, segments: int, similarity: float) -> Iterator[pa.RecordBatch]:
@@ -307,8 +312,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Texts are alike if the Jaccard similarity of their distinct shingles of `width` words is `similarity` or more. A few
     words put in or changed leave the fingerprint of the distinct shingles of `print_width` words within `max_bits` in
     almost all cases: it finds the candidates, in buckets of the pigeonring, among texts whose sizes allow the similarity.
-    Each text keeps its nearest candidate with a smaller and with a larger id; these links are checked on the shingles
-    (on the SKETCH least hashes of longer sets) before they count. Texts of the same lowered words are one; so are blank
+    Each text keeps its nearest candidate with a smaller and with a larger id; these links are checked on
+    all shingles before they count. Texts of the same lowered words are one; so are blank
     and null texts. Rows that share an id are one text. Rows with a null id are left out. Repeated rows each come back; other columns are not read; an empty
     table gives an empty result.
     """
@@ -341,8 +346,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def draw(batches):
         for batch, data, at in slices(batches, "text"):
-            raw, cuts = data.tobytes(), at.tolist()
-            yield pa.record_batch({"id": batch.column("id"), "sketch": pa.array([sketch(raw[a:b], width) for a, b in zip(cuts, cuts[1:])], pa.binary())})
+            yield pa.record_batch({"id": batch.column("id"), "sketch": pa.array([x.tobytes() for x in _sets(data, at, width)], pa.binary())})
 
     drawn = rows.join(ends, "id", "left_semi").mapInArrow(draw, "id long, sketch binary").groupBy("id").agg(F.min("sketch").alias("sketch"))
     drawn = settled(drawn)

@@ -493,3 +493,13 @@ def test_resemblance():
     assert simhash.resemblance(simhash.sketch(a, 5), simhash.sketch(a, 5)) == 1
     assert simhash.resemblance(simhash.sketch(a, 5), simhash.sketch(b, 5)) > 0.97
     assert simhash.resemblance(simhash.sketch(b"", 5), simhash.sketch(b"", 5)) == 1 and simhash.resemblance(simhash.sketch(b"", 5), simhash.sketch(b"x", 5)) == 0
+
+
+def test_resemblance_of_long_texts():
+    """On whole texts: close to the threshold a sample of the shingles decides either way."""
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for seed in range(8):
+        a = [f"w{seed}x{i}" for i in range(6000)]
+        b = a[: 4800 + 10 * (seed - 4)] + ["y"] * 2
+        x, y = shingles(a), shingles(b)
+        assert simhash.resemblance(simhash.sketch(" ".join(a).encode(), 5), simhash.sketch(" ".join(b).encode(), 5)) == len(x & y) / len(x | y)
