@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, partitions, settled, slices, with_heavy, words
+from .common import Prefix, partitions, settled, slices, with_heavy, words, written
 from .components import components
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -210,25 +210,12 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _measured(data: np.ndarray, at: np.ndarray, print_width: int, width: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Of each text: a digest of its lowered words, the fingerprint of its distinct short shingles, and how many distinct
-    long ones it has."""
+def _digests(data: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Of each text: a digest of its lowered words."""
     import xxhash
 
-    low = _LOWER[data].tobytes()
-    cut = at.tolist()
-    digest, prints, sizes = [], [], []
-    for a, b in zip(cut, cut[1:]):
-        own = low[a:b].split()
-        digest.append(xxhash.xxh3_128_digest(b" ".join(own)))
-        short = {b" ".join(own[i : i + print_width]) for i in range(max(1, len(own) - print_width + 1))} if own else ()
-        h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in short), np.uint64, len(short))
-        ones = np.zeros(64, np.int64)
-        for k in range(0, len(h), 1 << 16):
-            ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        prints.append(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<u8")[0])
-        sizes.append(len({tuple(own[i : i + width]) for i in range(len(own) - width + 1)}) or min(1, len(own)))
-    return digest, np.array(prints, np.uint64), np.array(sizes, np.int64)
+    low, cut = _LOWER[data].tobytes(), at.tolist()
+    return [xxhash.xxh3_128_digest(b" ".join(low[a:b].split())) for a, b in zip(cut, cut[1:])]
 
 
 def _sets(data: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
@@ -259,62 +246,65 @@ def resemblance(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def _nearest(batches: Iterator[pa.RecordBatch], max_bits: int, segments: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, size) -> for each node its nearest one in a bucket among those before and after it."""
-    masks, (_, equal) = _masks(max_bits, segments), ring(max_bits, segments)
-    held: list[pa.RecordBatch] = []
+SAMPLE = 8000  # texts whose shingles tell which ones are common
+COMMON = 200_000  # shingles known as common at most
+
+
+def _lead(own: np.ndarray, similarity: float, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rare ones first: sets of the similarity share one of these whatever the order is, as
+    long as it is the same for all."""
+    many = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        rank = np.where(common[at] == own, ranks[at], 0)
+        own = own[np.argsort(rank, kind="stable")]
+    return own[:many]
 
-    def found(table: pa.Table) -> pa.RecordBatch:
-        key, prints, node, start, size = (table.column(c).to_numpy() for c in ("key", "print", "node", "start", "size"))
-        prints, n = prints.view(np.uint64), len(key)
-        best = np.full((2, n), 1 << 30, np.int64)
-        other = np.zeros((2, n), np.int64)
-        alive, step = np.arange(n), 1
-        while len(alive):
-            alive = alive[alive + step < n]
-            j = alive + step
-            alive = alive[(key[j] == key[alive]) & (size[j] * similarity <= size[alive])]  # sizes ascend: further ones differ more
-            i = alive
-            x = prints[i] ^ prints[i + step]
-            for k in range(equal, segments):
-                fits = np.bitwise_count(x & masks[start[i], k]) <= (k + 1) * max_bits // segments
-                i, x = i[fits], x[fits]
-            if len(i):
-                j, bits = i + step, np.bitwise_count(x).astype(np.int64)
-                later, earlier = node[i] < node[j], node[i] > node[j]
-                for a, b, rows in ((i, j, later), (j, i, earlier)):  # a has the smaller id
-                    a, b, d = a[rows], b[rows], bits[rows]
-                    for side, own, its in ((0, b, a), (1, a, b)):
-                        closer = d < best[side, own]
-                        best[side, own[closer]], other[side, own[closer]] = d[closer], node[its[closer]]
-            step += 1
-        side, own = np.nonzero(best < 1 << 30)
-        return pa.record_batch({"node": pa.array(node[own], pa.int64()), "side": pa.array(side, pa.int64()), "bits": pa.array(best[side, own]), "other": pa.array(other[side, own], pa.int64())})
 
+def _whole(batches: Iterator[pa.RecordBatch], most: int = 100_000) -> Iterator[pa.Table]:
+    """Rows sorted by key, in tables that hold each key's rows together."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
-        if sum(x.num_rows for x in held) < 100_000 or held[0].column("key")[0] == batch.column("key")[-1]:
+        if sum(x.num_rows for x in held) < most or held[0].column("key")[0] == batch.column("key")[-1]:
             continue
         table = pa.Table.from_batches(held)
         key = table.column("key").to_numpy()
         whole = int(np.searchsorted(key, key[-1]))
-        yield found(table.slice(0, whole))
+        yield table.slice(0, whole)
         held = table.slice(whole).combine_chunks().to_batches()
     if held:
-        yield found(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held)
+
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key, without the keys that one row has."""
+    for table in _whole(batches):
+        key = table.column("key").to_numpy()
+        same = key[1:] == key[:-1]
+        alone = ~(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+        yield from table.filter(pa.array(~alone)).combine_chunks().to_batches()
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, print_width: int = 2, max_bits: int = 8, segments: int = 17) -> DataFrame:
+
+def _next(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, size, node) -> each with the next of its key, if their sizes allow the similarity."""
+    for table in _whole(batches):
+        key, node, size = (table.column(c).to_numpy() for c in ("key", "node", "size"))
+        i = np.flatnonzero((key[1:] == key[:-1]) & (size[1:] * similarity <= size[:-1] + 1e-9) & (node[1:] != node[:-1]))
+        yield pa.record_batch({"a": pa.array(np.maximum(node[i], node[i + 1])), "b": pa.array(np.minimum(node[i], node[i + 1]))})
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per row: doc_id, component_id: the smallest id of its group of near-duplicates.
 
-    Texts are alike if the Jaccard similarity of their distinct shingles of `width` words is `similarity` or more. A few
-    words put in or changed leave the fingerprint of the distinct shingles of `print_width` words within `max_bits` in
-    almost all cases: it finds the candidates, in buckets of the pigeonring, among texts whose sizes allow the similarity.
-    Each text keeps its nearest candidate with a smaller and with a larger id; these links are checked on
-    all shingles before they count. Texts of the same lowered words are one; so are blank
-    and null texts. Rows that share an id are one text. Rows with a null id are left out. Repeated rows each come back; other columns are not read; an empty
+    Texts are alike if the Jaccard similarity of their distinct shingles of `width` words is `similarity` or more. Such
+    texts share one of the first |x| - ceil(similarity * |x|) + 1 shingles of each in any order that is the same for all
+    texts: these shingles are the keys of the candidates. The order puts shingles that a sample of the texts has more often
+    last, so that buckets are small; the result does not depend on it. In a bucket each text is a candidate of the next one
+    in size, and keeps on either side the one with which it shares the most keys. Links are checked on all shingles before
+    they count. Texts of the same lowered words are one; so are blank and null texts. Rows that share an id are one text. Rows with a null id are left out. Repeated rows each come back; other columns are not read; an empty
     table gives an empty result.
     """
     spark = df.sparkSession
@@ -322,41 +312,56 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def measure(batches):
         for batch, data, at in slices(batches, "text"):
-            digest, prints, sizes = _measured(data, at, print_width, width)
-            yield pa.record_batch({"id": batch.column("id"), "digest": pa.array(digest, pa.binary()), "print": pa.array(prints.view(np.int64)), "size": pa.array(sizes)})
+            yield pa.record_batch({"id": batch.column("id"), "digest": pa.array(_digests(data, at), pa.binary())})
 
-    docs = settled(rows.mapInArrow(measure, "id long, digest binary, print long, size long"))
-    nodes = settled(docs.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.first("print").alias("print"), F.first("size").alias("size")))
-    cut, equal = ring(max_bits, segments)
-    keys = []
-    for i in range(segments):
-        key = F.lit(i).cast("long")
-        for a, b in (cut[(i + j) % segments] for j in range(equal)):
-            key = F.shiftleft(key, b - a).bitwiseOR(F.shiftrightunsigned("print", a).bitwiseAND(F.lit((1 << (b - a)) - 1)))
-        keys.append(F.struct(F.lit(i).alias("start"), key.alias("key")))
-    # sizes of one bucket in ranges that overlap by the similarity: two ranges of a text meet any partner's
-    scale = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / float(np.log(1 / similarity)))
-    boxes = nodes.where("size > 0").select("node", "print", "size", F.explode(F.array(*keys)).alias("box"), scale.alias("band")).select("node", "print", "size", "box.start", "box.key", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
-    boxes = boxes.select("node", "print", "size", "start", F.shiftleft("key", 16).bitwiseOR(F.col("band").cast("long")).alias("key"))
-    dealt = boxes.repartition(partitions(spark), "key").sortWithinPartitions("key", "size", "node")
-    near = dealt.mapInArrow(lambda x: _nearest(x, max_bits, segments, similarity), "node long, side long, bits long, other long")
-    links = near.groupBy("node", "side").agg(F.min(F.struct("bits", "other")).alias("m")).select(F.greatest("node", "m.other").alias("a"), F.least("node", "m.other").alias("b")).distinct()
-    links = settled(links)
-    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
+    docs = settled(rows.mapInArrow(measure, "id long, digest binary"))
+    nodes = settled(docs.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n")))
+
+    def each(batches):
+        for _, data, at in slices(batches, "text"):
+            yield pa.record_batch({"key": pa.array(np.concatenate(_sets(data, at, width)).view(np.int64))})
+
+    some = nodes.where(F.pmod(F.xxhash64("digest"), F.lit(1 + nodes.count() // SAMPLE)) == 0).select(F.col("node").alias("id"))
+    often = rows.join(F.broadcast(some), "id", "left_semi").mapInArrow(each, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    common, ranks = often.column("key").to_numpy().view(np.uint64), often.column("n").to_numpy()
+    order = np.argsort(common)
+    common, ranks = common[order], ranks[order]
+
+    def lead(batches):
+        for batch, data, at in slices(batches, "text"):
+            sets = _sets(data, at, width)
+            keys = [_lead(x, similarity, common, ranks) for x in sets]
+            many = [len(x) for x in keys]
+            yield pa.record_batch({"node": pa.array(np.repeat(batch.column("id").to_numpy(), many), pa.int64()), "key": pa.array(np.concatenate(keys).view(np.int64)), "size": pa.array(np.repeat([len(x) for x in sets], many), pa.int32())})
+
+    def texts(ids: DataFrame) -> DataFrame:  # the columns are id and text
+        return rows.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+
+    def dealt(keys: DataFrame) -> DataFrame:
+        return keys.repartition(partitions(spark), "key").sortWithinPartitions("key", "size", "node")
+
+    first = texts(nodes.select(F.col("node").alias("id"))).mapInArrow(lead, "node long, key long, size int")
+    met = settled(dealt(first).mapInArrow(_met, "node long, key long, size int"))
 
     def draw(batches):
         for batch, data, at in slices(batches, "text"):
             yield pa.record_batch({"id": batch.column("id"), "sketch": pa.array([x.tobytes() for x in _sets(data, at, width)], pa.binary())})
 
-    drawn = rows.join(ends, "id", "left_semi").mapInArrow(draw, "id long, sketch binary").groupBy("id").agg(F.min("sketch").alias("sketch"))
-    drawn = settled(drawn)
-    paired = links.join(drawn.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(drawn.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-
     def alike(batches):
         for batch in batches:
-            ok = [resemblance(x, y) >= similarity for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            ok = [resemblance(x.as_py(), y.as_py()) >= similarity for x, y in zip(batch.column("x"), batch.column("y"))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    comp = components(paired.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = settled(pairs)
+        ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        drawn = written(texts(ends).mapInArrow(draw, "id long, sketch binary"))
+        paired = pairs.join(drawn.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(drawn.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
+        return settled(paired.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
+
+    near = settled(dealt(met).mapInArrow(lambda x: _next(x, similarity), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n")))
+    best = [near.groupBy(own).agg(F.max(F.struct("n", other)).alias("m")).select(own, f"m.{other}").select("a", "b") for own, other in (("a", "b"), ("b", "a"))]
+    links = checked(best[0].union(best[1]).distinct())
+    comp = components(links)
     named = nodes.join(comp, nodes.node == comp.node, "left").select("digest", "n", F.coalesce("component", nodes.node).alias("component_id"))
     return with_heavy(docs, named, "digest", "n").select(F.col("id").alias("doc_id"), "component_id")

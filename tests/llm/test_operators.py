@@ -503,3 +503,27 @@ def test_resemblance_of_long_texts():
         b = a[: 4800 + 10 * (seed - 4)] + ["y"] * 2
         x, y = shingles(a), shingles(b)
         assert simhash.resemblance(simhash.sketch(" ".join(a).encode(), 5), simhash.sketch(" ".join(b).encode(), 5)) == len(x & y) / len(x | y)
+
+
+def similar(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_duplicates_close_to_the_threshold(spark):
+    """Appended blocks and scattered edits at a similarity of 0.80 to 0.85: every pair is found, none below 0.8."""
+    r = random.Random(13)
+    texts, want = [], {}
+    for g in range(120):
+        w = [f"w{r.randrange(3000)}" for _ in range(r.randint(60, 300))]
+        if g % 2:
+            own = w + [f"w{r.randrange(3000)}" for _ in range(int(len(w) * r.uniform(0.17, 0.27)))]
+        else:
+            own = list(w)
+            for k in range(int(len(w) * r.uniform(0.015, 0.025))):
+                own[r.randrange(len(own))] = f"changed{k}"
+        texts += [w, own]
+        want[2 * g + 1] = 2 * g if similar(w, own) >= 0.8 else 2 * g + 1
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(documents(spark, [(i, " ".join(w)) for i, w in enumerate(texts)])).collect()}
+    assert 30 < sum(k != v for k, v in want.items()) < 110
+    assert {k: got[k] for k in want} == want
