@@ -296,15 +296,36 @@ def _next(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.R
         yield pa.record_batch({"a": pa.array(np.maximum(node[i], node[i + 1])), "b": pa.array(np.minimum(node[i], node[i + 1]))})
 
 
+def _across(batches: Iterator[pa.RecordBatch], similarity: float, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, size, node) -> the pairs of a key whose components differ and whose sizes allow the similarity."""
+    for table in _whole(batches):
+        key, node, size, comp = (table.column(c).to_numpy() for c in ("key", "node", "size", "component"))
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        many = np.diff(np.append(cut, len(key)))
+        mixed = np.repeat(np.minimum.reduceat(comp, cut) < np.maximum.reduceat(comp, cut), many)
+        key, node, size, comp = key[mixed], node[mixed], size[mixed], comp[mixed]
+        alive, step, out, held = np.arange(len(key)), 1, [], 0
+        while len(alive):
+            alive = alive[alive + step < len(key)]
+            alive = alive[(key[alive + step] == key[alive]) & (size[alive + step] * similarity <= size[alive] + 1e-9)]
+            i = alive[comp[alive] != comp[alive + step]]
+            out.append((np.maximum(node[i], node[i + step]), np.minimum(node[i], node[i + step])))
+            held, step = held + len(i), step + 1
+            if held >= most or (not len(alive) and held):
+                a, b = (np.concatenate(x) for x in zip(*out))
+                yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
+                out, held = [], 0
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per row: doc_id, component_id: the smallest id of its group of near-duplicates.
 
     Texts are alike if the Jaccard similarity of their distinct shingles of `width` words is `similarity` or more. Such
     texts share one of the first |x| - ceil(similarity * |x|) + 1 shingles of each in any order that is the same for all
     texts: these shingles are the keys of the candidates. The order puts shingles that a sample of the texts has more often
-    last, so that buckets are small; the result does not depend on it. In a bucket each text is a candidate of the next one
-    in size, and keeps on either side the one with which it shares the most keys. Links are checked on all shingles before
-    they count. Texts of the same lowered words are one; so are blank and null texts. Rows that share an id are one text. Rows with a null id are left out. Repeated rows each come back; other columns are not read; an empty
+    last, so that buckets are small; the result does not depend on it. At first each text of a bucket is a candidate of the
+    next one in size, and keeps on either side the one with which it shares the most keys: links of these join most groups.
+    Then come all candidates that are not in one component yet. Links are checked on all shingles before they count. Texts of the same lowered words are one; so are blank and null texts. Rows that share an id are one text. Rows with a null id are left out. Repeated rows each come back; other columns are not read; an empty
     table gives an empty result.
     """
     spark = df.sparkSession
@@ -362,6 +383,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = settled(dealt(met).mapInArrow(lambda x: _next(x, similarity), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n")))
     best = [near.groupBy(own).agg(F.max(F.struct("n", other)).alias("m")).select(own, f"m.{other}").select("a", "b") for own, other in (("a", "b"), ("b", "a"))]
     links = checked(best[0].union(best[1]).distinct())
-    comp = components(links)
+    comp = settled(components(links))
+    joined = met.join(comp, "node", "left").select("node", "key", "size", F.coalesce("component", "node").alias("component"))
+    rest = settled(dealt(joined).mapInArrow(lambda x: _across(x, similarity), "a long, b long").distinct())
+    if not rest.isEmpty():
+        comp = components(links.union(checked(rest)))
     named = nodes.join(comp, nodes.node == comp.node, "left").select("digest", "n", F.coalesce("component", nodes.node).alias("component_id"))
     return with_heavy(docs, named, "digest", "n").select(F.col("id").alias("doc_id"), "component_id")

@@ -527,3 +527,25 @@ def test_near_duplicates_close_to_the_threshold(spark):
     got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(documents(spark, [(i, " ".join(w)) for i, w in enumerate(texts)])).collect()}
     assert 30 < sum(k != v for k, v in want.items()) < 110
     assert {k: got[k] for k in want} == want
+
+
+def test_near_duplicates_of_large_groups(spark):
+    """Variants of one text, alike in part only, and a shared template: the components of all pairs, not of the nearest."""
+    r = random.Random(14)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for k in range(150):
+        w = list(base)
+        for j in range(r.randint(1, 5)):
+            w[r.randrange(200)] = f"v{k}x{j}"
+        texts.append(w + [f"t{k}x{j}" for j in range(r.choice((0, 0, 10, 25)))])
+    texts += [base[:60] + [f"u{k}x{j}" for j in range(40)] for k in range(30)]
+    r.shuffle(texts)
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if least[i] != least[j] and similar(texts[i], texts[j]) >= 0.8:
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(documents(spark, [(i, " ".join(w)) for i, w in enumerate(texts)])).collect()}
+    assert got == dict(enumerate(least))
