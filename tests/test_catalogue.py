@@ -41,3 +41,18 @@ def test_query(spark, con, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_ordered_apply_takes_all_events(spark):
+    """On a table long enough for compaction, against a walk through the log."""
+    data = "/root/testdata/sf0.01"
+    ids = [r["event_id"] for r in spark.read.parquet(f"{data}/events.parquet").select("event_id").collect()]
+    log = sorted((i % 4, i // 4 + 1) for i in ids if (i % 4, i // 4 + 1) != (3, 50))
+    last, want = dict.fromkeys(range(4), 0), {}
+    for shard, lsn in log + [x for x in log if x[1] % 10 == 0]:
+        outcome = "applied" if lsn == last[shard] + 1 else "gap" if lsn > last[shard] else "compacted" if lsn <= last[shard] - 1024 else "duplicate"
+        last[shard] += outcome == "applied"
+        want[shard, outcome] = want.get((shard, outcome), 0) + 1
+    got = {(r["shard"], r["outcome"]): r["n"] for r in catalogue.QUERIES["ordered_apply_stream"](spark, data).collect()}
+    assert got == want and {o for _, o in got} == {"applied", "gap", "compacted", "duplicate"}
+    assert sum(got.values()) == len(log) + sum(x[1] % 10 == 0 for x in log)
