@@ -549,3 +549,13 @@ def test_near_duplicates_of_large_groups(spark):
                 least = [low if x == high else x for x in least]
     got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(documents(spark, [(i, " ".join(w)) for i, w in enumerate(texts)])).collect()}
     assert got == dict(enumerate(least))
+
+
+def test_leaks_of_windows_with_few_literals(spark):
+    """Number-dense items count where the values agree, and only there; those with other values keep their wide windows."""
+    bench = [(1, "what is 37 * 48 + 12"), (2, "mix 3 kg of 4 l and 5 g"), (3, "take 3 kg of apples and 4 kg of pears then tell how many baskets you will need for all of them")]
+    rows = [
+        (1, "so: what is 37 * 48 + 12, then"), (2, "so: what is 37 * 49 + 12, then"), (3, "They mix 3 kg of 4 l and 5 g here"), (4, "They mix 3 kg of 4 l and 6 g here"),
+        (5, "take 8 kg of apples and 9 kg of pears then tell how many baskets you will need for all of them"), (6, "nothing here but 37 48 12"),
+    ]
+    assert flagged(spark, rows, bench) == [(1, 1, True), (3, 2, True), (5, 3, False)]
