@@ -156,6 +156,43 @@ class Prefix:
         return mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
 
 
+_JOIN = np.uint64(0xA24BAED4963EE407)
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A name of the pair (a, b). It is mixed at every step, so names of names keep no trace of sums or products."""
+    return mixed((a ^ (a >> np.uint64(32))) * _JOIN + b)
+
+
+class Names:
+    """Hashes of stretches of 2 to `most` values, doubled up from neighbours: a stretch is named by its first and its last
+    2 ** k values, which cover it. A single value is its own name."""
+
+    def __init__(self, values: np.ndarray, most: int):
+        self.levels = [values]
+        while 2 << (len(self.levels) - 1) <= most and len(self.levels[-1]) > (step := 1 << (len(self.levels) - 1)):
+            self.levels.append(joined(self.levels[-1][:-step], self.levels[-1][step:]))
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = end - start
+        out = np.empty(len(start), np.uint64)
+        level = np.frexp(np.maximum(size, 1).astype(np.float64))[1] - 1
+        for k in np.unique(level).tolist():
+            mine = np.flatnonzero(level == k)
+            at = self.levels[k]
+            a = at[start[mine]]
+            out[mine] = a if k == 0 else joined(joined(a, at[end[mine] - (1 << k)]), size[mine].astype(np.uint64))
+        return out
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH3 of each word."""
+    import xxhash
+
+    flat, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(flat[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+
+
 def with_heavy(left: DataFrame, right: DataFrame, key: str, weight: str, share: int = 1000) -> DataFrame:
     """left join right on key, for a right side with one row a key and the key's count of left rows in `weight`.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, partitions, settled, slices, with_heavy, words, written
+from .common import Names, kept, partitions, settled, slices, with_heavy, word_hashes, words
 from .components import components
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -222,14 +222,19 @@ def _sets(data: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
     """The 64-bit hashes of the distinct shingles of each text, ascending; a text of fewer words is one shingle."""
     data = _LOWER[data]
     starts, ends, first = words(data, at)
-    each = Prefix.of_bytes(data)(starts, ends)
     count = np.diff(first)
     many = np.where(count >= width, count - width + 1, np.minimum(count, 1))
     before = np.concatenate([[0], np.cumsum(many)])
     begin = np.repeat(first[:-1], many) + np.arange(before[-1]) - np.repeat(before[:-1], many)
-    hashes = Prefix(each)(begin, np.minimum(begin + width, np.repeat(first[1:], many)))
-    cuts = before.tolist()
-    return [np.unique(hashes[a:b]) for a, b in zip(cuts, cuts[1:])]
+    hashes = Names(word_hashes(data, starts, ends), width)(begin, np.minimum(begin + width, np.repeat(first[1:], many)))
+    text = np.repeat(np.arange(len(many)), many)
+    order = np.lexsort((hashes, text))
+    hashes, text = hashes[order], text[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    hashes = hashes[new]
+    cuts = np.searchsorted(text[new], np.arange(len(many) + 1)).tolist()
+    return [hashes[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def sketch(text: bytes, width: int) -> bytes:
@@ -246,8 +251,21 @@ def resemblance(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def parity(own: np.ndarray) -> bytes:
+    """A bit for each value of the low bits of a set's hashes: whether an odd number of them has it. There are at least as
+    many bits as hashes, and a power of two, so that bits fold."""
+    bits = max(64, 1 << max(len(own) - 1, 0).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def within(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """How much two sets may differ in at most, given the sum of their sizes."""
+    return sizes * (1 - similarity) / (1 + similarity) + 1e-9
+
+
 SAMPLE = 8000  # texts whose shingles tell which ones are common
 COMMON = 200_000  # shingles known as common at most
+MOST_BROADCAST = 1_000_000  # ids
 
 
 def _lead(own: np.ndarray, similarity: float, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -289,26 +307,66 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _next(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, size, node) -> each with the next of its key, if their sizes allow the similarity."""
+    """Rows sorted by (key, size, node) -> each with the next of its key in another component, if their sizes allow the
+    similarity: no more pairs than rows."""
     for table in _whole(batches):
-        key, node, size = (table.column(c).to_numpy() for c in ("key", "node", "size"))
-        i = np.flatnonzero((key[1:] == key[:-1]) & (size[1:] * similarity <= size[:-1] + 1e-9) & (node[1:] != node[:-1]))
-        yield pa.record_batch({"a": pa.array(np.maximum(node[i], node[i + 1])), "b": pa.array(np.minimum(node[i], node[i + 1]))})
+        key, node, size, comp = (table.column(c).to_numpy() for c in ("key", "node", "size", "component"))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (comp[1:] != comp[:-1])
+        heads = np.append(np.flatnonzero(new), len(key))
+        after = heads[np.cumsum(new)]
+        i = np.flatnonzero(after < len(key))
+        j = after[i]
+        fits = (key[i] == key[j]) & (size[j] * similarity <= size[i] + 1e-9)
+        i, j = i[fits], j[fits]
+        yield pa.record_batch({"a": pa.array(np.maximum(node[i], node[j])), "b": pa.array(np.minimum(node[i], node[j]))})
+
+
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key, without the keys whose rows are all of one component."""
+    for table in _whole(batches):
+        key, comp = table.column("key").to_numpy(), table.column("component").to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        several = np.minimum.reduceat(comp, cut) < np.maximum.reduceat(comp, cut)
+        yield from table.filter(pa.array(np.repeat(several, np.diff(np.append(cut, len(key)))))).combine_chunks().to_batches()
+
+
+def _distances(parities: list[bytes]):
+    """Hamming distances of pairs (i, j) among parities, the longer of a pair folded to the shorter."""
+    sizes = np.array([len(x) for x in parities], np.int64)
+    at = np.cumsum(sizes) - sizes
+    flat = np.frombuffer(b"".join(parities), np.uint8)
+
+    def distance(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i), np.int64)
+        shape = sizes[i] << 32 | sizes[j]
+        for kind in np.unique(shape).tolist():
+            here = np.flatnonzero(shape == kind)
+            for lo in range(0, len(here), 4096):
+                mine = here[lo : lo + 4096]
+                x, y = (flat[at[k[mine]][:, None] + np.arange(n)] for k, n in ((i, kind >> 32), (j, kind & 0xFFFFFFFF)))
+                while x.shape[1] > y.shape[1]:
+                    x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+                while y.shape[1] > x.shape[1]:
+                    y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+                out[mine] = np.bitwise_count(x ^ y).sum(1)
+        return out
 
+    return distance
 
-def _across(batches: Iterator[pa.RecordBatch], similarity: float, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, size, node) -> the pairs of a key whose components differ and whose sizes allow the similarity."""
-    for table in _whole(batches):
+
+def _across(batches: Iterator[pa.RecordBatch], similarity: float, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, size, node) -> the pairs of a key whose components differ and whose sizes and parities allow the
+    similarity."""
+    for table in _whole(batches, 20_000):
         key, node, size, comp = (table.column(c).to_numpy() for c in ("key", "node", "size", "component"))
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        many = np.diff(np.append(cut, len(key)))
-        mixed = np.repeat(np.minimum.reduceat(comp, cut) < np.maximum.reduceat(comp, cut), many)
-        key, node, size, comp = key[mixed], node[mixed], size[mixed], comp[mixed]
+        distance = _distances(table.column("parity").to_pylist())
         alive, step, out, held = np.arange(len(key)), 1, [], 0
         while len(alive):
             alive = alive[alive + step < len(key)]
             alive = alive[(key[alive + step] == key[alive]) & (size[alive + step] * similarity <= size[alive] + 1e-9)]
             i = alive[comp[alive] != comp[alive + step]]
+            i = i[distance(i, i + step) <= within(size[i].astype(np.int64) + size[i + step], similarity)]
             out.append((np.maximum(node[i], node[i + step]), np.minimum(node[i], node[i + step])))
             held, step = held + len(i), step + 1
             if held >= most or (not len(alive) and held):
@@ -317,16 +375,22 @@ def _across(batches: Iterator[pa.RecordBatch], similarity: float, most: int = 1
                 out, held = [], 0
 
 
+ROUNDS = 2  # of links between neighbours, before all candidates
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per row: doc_id, component_id: the smallest id of its group of near-duplicates.
 
     Texts are alike if the Jaccard similarity of their distinct shingles of `width` words is `similarity` or more. Such
     texts share one of the first |x| - ceil(similarity * |x|) + 1 shingles of each in any order that is the same for all
-    texts: these shingles are the keys of the candidates. The order puts shingles that a sample of the texts has more often
-    last, so that buckets are small; the result does not depend on it. At first each text of a bucket is a candidate of the
-    next one in size, and keeps on either side the one with which it shares the most keys: links of these join most groups.
-    Then come all candidates that are not in one component yet. Links are checked on all shingles before they count. Texts of the same lowered words are one; so are blank and null texts. Rows that share an id are one text. Rows with a null id are left out. Repeated rows each come back; other columns are not read; an empty
-    table gives an empty result.
+    texts: these shingles are the keys of the candidates. The order puts shingles that a sample of the rows has more often
+    last, so that buckets are small; the result does not depend on it. In a few rounds each text of a bucket is a candidate
+    of the next one in size that is in another component, and keeps on either side the one with which it shares the most
+    keys: links of these join most groups. Then come all candidates that are not in one component yet.
+
+    A pair is dropped if the parities of the two sets differ in more bits than sets of the similarity can; all others are
+    checked on all shingles of both texts before they count. Texts of the same lowered words are one; so are blank and
+    null texts. Rows that share an id with other texts are linked by any of these. Rows with a null id are left out. Repeated rows each come back; other columns are not read; an empty table gives an empty result.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
@@ -336,57 +400,92 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.record_batch({"id": batch.column("id"), "digest": pa.array(_digests(data, at), pa.binary())})
 
     docs = settled(rows.mapInArrow(measure, "id long, digest binary"))
-    nodes = settled(docs.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n")))
 
     def each(batches):
         for _, data, at in slices(batches, "text"):
             yield pa.record_batch({"key": pa.array(np.concatenate(_sets(data, at, width)).view(np.int64))})
 
-    some = nodes.where(F.pmod(F.xxhash64("digest"), F.lit(1 + nodes.count() // SAMPLE)) == 0).select(F.col("node").alias("id"))
-    often = rows.join(F.broadcast(some), "id", "left_semi").mapInArrow(each, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 + docs.count() // SAMPLE)) == 0)
+    often = some.mapInArrow(each, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
     common, ranks = often.column("key").to_numpy().view(np.uint64), often.column("n").to_numpy()
     order = np.argsort(common)
     common, ranks = common[order], ranks[order]
 
-    def lead(batches):
+    def features(batches):
         for batch, data, at in slices(batches, "text"):
             sets = _sets(data, at, width)
-            keys = [_lead(x, similarity, common, ranks) for x in sets]
-            many = [len(x) for x in keys]
-            yield pa.record_batch({"node": pa.array(np.repeat(batch.column("id").to_numpy(), many), pa.int64()), "key": pa.array(np.concatenate(keys).view(np.int64)), "size": pa.array(np.repeat([len(x) for x in sets], many), pa.int32())})
-
-    def texts(ids: DataFrame) -> DataFrame:  # the columns are id and text
-        return rows.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+            cells = {
+                "id": batch.column("id"),
+                "digest": pa.array(_digests(data, at), pa.binary()),
+                "size": pa.array([len(x) for x in sets], pa.int32()),
+                "parity": pa.array([parity(x) for x in sets], pa.binary()),
+                "keys": pa.array([_lead(x, similarity, common, ranks).view(np.int64) for x in sets], pa.list_(pa.int64())),
+            }
+            yield pa.record_batch(cells)
+
+    measured = rows.mapInArrow(features, "id long, digest binary, size int, parity binary, keys array<long>")
+    least = F.min_by(F.struct("size", "parity", "keys"), F.col("id"))
+    nodes = settled(measured.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n"), least.alias("f")).select("digest", "node", "n", "f.*"))
 
     def dealt(keys: DataFrame) -> DataFrame:
         return keys.repartition(partitions(spark), "key").sortWithinPartitions("key", "size", "node")
 
-    first = texts(nodes.select(F.col("node").alias("id"))).mapInArrow(lead, "node long, key long, size int")
+    first = nodes.select("node", F.explode("keys").alias("key"), "size")
     met = settled(dealt(first).mapInArrow(_met, "node long, key long, size int"))
 
     def draw(batches):
         for batch, data, at in slices(batches, "text"):
             yield pa.record_batch({"id": batch.column("id"), "sketch": pa.array([x.tobytes() for x in _sets(data, at, width)], pa.binary())})
 
+    def close(batches):
+        for batch in batches:
+            sizes = batch.column("m").to_numpy().astype(np.int64) + batch.column("n").to_numpy()
+            n = batch.num_rows
+            gap = _distances(batch.column("x").to_pylist() + batch.column("y").to_pylist())(np.arange(n), np.arange(n, 2 * n))
+            yield batch.select(["a", "b"]).filter(pa.array(gap <= within(sizes, similarity)))
+
     def alike(batches):
         for batch in batches:
             ok = [resemblance(x.as_py(), y.as_py()) >= similarity for x, y in zip(batch.column("x"), batch.column("y"))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        pairs = settled(pairs)
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        drawn = written(texts(ends).mapInArrow(draw, "id long, sketch binary"))
-        paired = pairs.join(drawn.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(drawn.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-        return settled(paired.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
-
-    near = settled(dealt(met).mapInArrow(lambda x: _next(x, similarity), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n")))
-    best = [near.groupBy(own).agg(F.max(F.struct("n", other)).alias("m")).select(own, f"m.{other}").select("a", "b") for own, other in (("a", "b"), ("b", "a"))]
-    links = checked(best[0].union(best[1]).distinct())
-    comp = settled(components(links))
-    joined = met.join(comp, "node", "left").select("node", "key", "size", F.coalesce("component", "node").alias("component"))
-    rest = settled(dealt(joined).mapInArrow(lambda x: _across(x, similarity), "a long, b long").distinct())
+    def ends(pairs: DataFrame, table: DataFrame, node: str, of_a: tuple[str, ...], of_b: tuple[str, ...]) -> DataFrame:
+        other = [c for c in table.columns if c != node]
+        for end, names in (("a", of_a), ("b", of_b)):
+            pairs = pairs.join(table.select(F.col(node).alias(end), *[F.col(c).alias(n) for c, n in zip(other, names)]), end)
+        return pairs
+
+    def checked(near: DataFrame) -> DataFrame:
+        ids = kept(near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct())
+        side = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+        drawn = kept(rows.join(side, "id", "left_semi").mapInArrow(draw, "id long, sketch binary").distinct())
+        return settled(ends(near, drawn, "id", ("x",), ("y",)).select("a", "b", "x", "y").mapInArrow(alike, "a long, b long").distinct())
+
+    def placed(comp: DataFrame | None) -> DataFrame:
+        if comp is None:
+            return met.withColumn("component", F.col("node"))
+        return met.join(comp, "node", "left").select("node", "key", "size", F.coalesce("component", "node").alias("component"))
+
+    links = comp = tried = None
+    marks = nodes.select("node", "size", "parity")
+    for _ in range(ROUNDS):
+        near = dealt(placed(comp)).mapInArrow(lambda x: _next(x, similarity), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n"))
+        near = kept(near if tried is None else near.join(tried, ["a", "b"], "left_anti"))
+        best = [near.groupBy(own).agg(F.max(F.struct("n", other)).alias("m")).select(own, f"m.{other}").select("a", "b") for own, other in (("a", "b"), ("b", "a"))]
+        chosen = kept(best[0].union(best[1]).distinct())
+        found = checked(kept(ends(chosen, marks, "node", ("m", "x"), ("n", "y")).select("a", "b", "m", "x", "n", "y").mapInArrow(close, "a long, b long")))
+        if found.isEmpty():
+            break
+        tried = chosen if tried is None else tried.union(chosen)
+        links = found if links is None else links.union(found)
+        comp = settled(components(links))
+    several = kept(dealt(placed(comp)).mapInArrow(_mixed, "node long, key long, size int, component long"))
+    with_parity = several.join(nodes.select("node", "parity"), "node").select("node", "key", "size", "component", "parity")
+    rest = kept(dealt(with_parity).mapInArrow(lambda x: _across(x, similarity), "a long, b long").distinct())
     if not rest.isEmpty():
-        comp = components(links.union(checked(rest)))
-    named = nodes.join(comp, nodes.node == comp.node, "left").select("digest", "n", F.coalesce("component", nodes.node).alias("component_id"))
+        found = checked(rest)
+        comp = components(found if links is None else links.union(found))
+    if comp is None:
+        comp = nodes.select("node", F.col("node").alias("component")).limit(0)
+    named = nodes.select("digest", "n", "node").join(comp, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component_id"))
     return with_heavy(docs, named, "digest", "n").select(F.col("id").alias("doc_id"), "component_id")
