@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, slices
+from .common import slices
 
 CHUNK = 1 << 15
 MOST_STATES = 120_000
@@ -185,13 +185,35 @@ class Maps:
         return now
 
 
+def equal_pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each piece, a piece of each group): pieces of a group have the same bytes. Up to seven bytes are their own
+    key; longer pieces are grouped by hash and held against the group's piece, and those that differ are groups of one."""
+    import xxhash
+
+    size = end - start
+    words = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    key = np.empty(len(start), np.uint64)
+    short = size < 8
+    bits = size[short].astype(np.uint64) * np.uint64(8)
+    key[short] = words[start[short]] & ((np.uint64(1) << bits) - np.uint64(1)) | size[short].astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(~short)
+    flat = data.tobytes() if len(long) else b""
+    key[long] = [xxhash.xxh3_64_intdigest(flat[a:b]) | 1 << 63 for a, b in zip(start[long].tolist(), end[long].tolist())]
+    _, first, back = np.unique(key, return_index=True, return_inverse=True)
+    if len(long):
+        lead = first[back[long]]
+        differ = [i for i, a, b, c, d in zip(long.tolist(), start[long].tolist(), end[long].tolist(), start[lead].tolist(), end[lead].tolist()) if flat[a:b] != flat[c:d]]
+        back[differ] = len(first) + np.arange(len(differ))
+        first = np.concatenate([first, np.array(differ, np.int64)])
+    return back, first
+
+
 def piece_tokens(transducer: Transducer, data: np.ndarray, start: np.ndarray, end: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
     """Tokens of each piece data[start:end]; pieces are in order and do not overlap."""
     cut = start // chunk != (end - 1) // chunk
     whole = np.flatnonzero(~cut)
     out = np.zeros(len(start), np.int64)
-    key = Prefix.of_bytes(data)(start[whole], end[whole])
-    _, first, back = np.unique(key, return_index=True, return_inverse=True)  # equal pieces take equal paths
+    back, first = equal_pieces(data, start[whole], end[whole])  # equal pieces take equal paths
     rep = whole[first]
     _, counts = transducer.run(data, start[rep], end[rep], np.ones(len(rep), bool), np.zeros(len(rep), np.int32))
     out[whole] = counts[back]
@@ -242,20 +264,39 @@ def piece_tokens(transducer: Transducer, data: np.ndarray, start: np.ndarray, en
     return out
 
 
+UNKNOWN = 4
+
+
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
-    """Class of each code point: 0 blank, 1 letter, 2 number, 3 other."""
+    """Class of each code point: 0 blank, 1 letter, 2 number, 3 other; 4 where Python's Unicode tables have none."""
     out = np.full(0x110000, 3, np.uint8)
     for c in range(0x110000):
-        kind = unicodedata.category(chr(c))[0]
-        if kind == "L":
+        kind = unicodedata.category(chr(c))
+        if kind[0] == "L":
             out[c] = 1
-        elif kind == "N":
+        elif kind[0] == "N":
             out[c] = 2
+        elif kind == "Cn":
+            out[c] = UNKNOWN
     out[[9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = 0
     return out
 
 
+@lru_cache(maxsize=1)
+def _unknown() -> np.ndarray:
+    return _classes() == UNKNOWN
+
+
+def ask(tokenizer, codes: set[int]) -> None:
+    """Classes that the library's own, newer tables give to code points that Python's lack."""
+    cut = tokenizer.pre_tokenizer.pre_tokenize_str
+    for c in codes:
+        sign = chr(c)
+        twice = len(cut(sign + sign))
+        _classes()[c] = 0 if not cut(sign) else 2 if twice == 2 else 1 if len(cut("a" + sign)) == 1 else 3
+
+
 def pieces(code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the pieces of normalized texts end to end, as code points: runs of letters, single numbers, runs
     of other signs, and the English contractions where an apostrophe begins a piece."""
@@ -288,8 +329,15 @@ def pieces(code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.minimum(edges, at[np.searchsorted(at, start, "right")])
 
 
-def normalized(text: str) -> str:
+def normalized(text: str, tokenizer=None) -> str:
+    """NFC and lower case; texts with code points that Python's tables lack are left to the library's normalizer."""
     if not text.isascii():
+        if tokenizer is not None:
+            code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            if _unknown()[code].any():
+                text = tokenizer.normalizer.normalize_str(text)
+                ask(tokenizer, {c for c in map(ord, set(text)) if _classes()[c] == UNKNOWN})
+                return text
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         text = text.replace("Σ", "σ")  # letter by letter: no final form
@@ -297,9 +345,11 @@ def normalized(text: str) -> str:
 
 
 @lru_cache(maxsize=2)
-def compiled(name: str) -> tuple[Transducer, tuple[str, ...]]:
-    """(transducer, special strings) of a tokenizer file whose normalizer is NFC, blanks and lower case."""
+def compiled(name: str) -> tuple[Transducer, tuple[str, ...], object]:
+    """(transducer, special strings, the library's tokenizer) of a file whose normalizer is NFC, blanks and lower case.
+    The library is asked about code points that are newer than Python's tables."""
     import public_tokenizers
+    from tokenizers import Tokenizer
 
     with open(public_tokenizers.path(name), encoding="utf-8") as file:
         spec = json.load(file)
@@ -307,10 +357,10 @@ def compiled(name: str) -> tuple[Transducer, tuple[str, ...]]:
     if kinds != ["NFC", "Replace", "Lowercase"] or spec["model"]["type"] != "BPE" or not spec["model"]["end_of_word_suffix"]:
         raise ValueError(f"{name} is not of the kind that this compiles")
     model = spec["model"]
-    return Transducer(Merges(model["vocab"], model["merges"], model["end_of_word_suffix"])), tuple(t["content"] for t in spec["added_tokens"])
+    return Transducer(Merges(model["vocab"], model["merges"], model["end_of_word_suffix"])), tuple(t["content"] for t in spec["added_tokens"]), Tokenizer.from_file(public_tokenizers.path(name))
 
 
-def count_tokens(texts: list[str], transducer: Transducer, special: tuple[str, ...], chunk: int = CHUNK) -> np.ndarray:
+def count_tokens(texts: list[str], transducer: Transducer, special: tuple[str, ...], tokenizer, chunk: int = CHUNK) -> np.ndarray:
     """Tokens of each text; special strings are one token each and end the text before them."""
     parts, owner, extra = [], [], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
@@ -320,7 +370,7 @@ def count_tokens(texts: list[str], transducer: Transducer, special: tuple[str, .
                 cut = [x.split(s) for x in rest]
                 extra[i] += sum(len(c) - 1 for c in cut)
                 rest = [y for c in cut for y in c]
-        parts += [normalized(r) for r in rest]
+        parts += [normalized(r, tokenizer) for r in rest]
         owner += [i] * len(rest)
     joined = "".join(parts)
     size = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -351,9 +401,9 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
 
     def count(batches):
-        transducer, special = compiled(vocabulary)
+        transducer, special, tokenizer = compiled(vocabulary)
         for batch, data, at in slices(batches, "text"):
-            n = count_tokens([t or "" for t in batch.column("text").to_pylist()], transducer, special)
+            n = count_tokens([t or "" for t in batch.column("text").to_pylist()], transducer, special, tokenizer)
             yield pa.record_batch({"doc_id": batch.column("id").cast(pa.int64()), "n_bytes": pa.array(np.diff(at)), "n_tokens": pa.array(n), "over_limit": pa.array(n > limit)})
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

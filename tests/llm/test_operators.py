@@ -156,9 +156,9 @@ def test_token_counts(spark):
     texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 90))) for _ in range(600)]
     texts += ["", "I'll they've we're 'S 'ss ''s x's!'s", "a<|endoftext|>b", "<|startoftext|>" * 3, "x" * 3000, "thethe " * 900, "'re're'll", "a\x85b\x1cc"]
     want = [len(plain.encode(t, add_special_tokens=False).ids) for t in texts]
-    t, special = transducer.compiled("word_bpe_49k.json")
+    t, special, tokenizer = transducer.compiled("word_bpe_49k.json")
     for chunk in (1 << 15, 61, 7):
-        assert transducer.count_tokens(texts, t, special, chunk).tolist() == want
+        assert transducer.count_tokens(texts, t, special, tokenizer, chunk).tolist() == want
     rows = [(i, x) for i, x in enumerate(texts)] + [(None, "a b"), (7, None), (1, texts[1])]
     out = transducer.token_counts(documents(spark, rows)).collect()
     got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in out}
@@ -167,6 +167,40 @@ def test_token_counts(spark):
     assert transducer.token_counts(documents(spark, [])).count() == 0
 
 
+def thue_morse(a, b, size):
+    """Two strings on which any polynomial modulo a power of two agrees."""
+    bits = [i.bit_count() & 1 for i in range(size)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_token_counts_of_pieces_that_weak_hashes_confuse(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    made = transducer.compiled("word_bpe_49k.json")
+    for a, b in ("er", "th", "in", "ss"):
+        texts = [x for size in (64, 1024, 2048, 4096) for x in thue_morse(a, b, size)]
+        want = [len(plain.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert transducer.count_tokens(texts, *made).tolist() == want
+    zero = ["a\0", "a", "\0a", "a\0\0", "abcdefg", "abcdefg\0", "abcdefgh", "\0", "\0\0"]
+    assert transducer.count_tokens(zero, *made).tolist() == [len(plain.encode(t, add_special_tokens=False).ids) for t in zero]
+
+
+def test_token_counts_of_every_kind_of_code_point():
+    """Also of those that are newer than Python's Unicode tables."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    made = transducer.compiled("word_bpe_49k.json")
+    codes = [0xA7CB, 0xA7DC, 0x13808, 0x1385C, 0x13988, *range(0x80, 0x110000, 37), *range(0xA700, 0xA800), *range(0x10D40, 0x10D90), *range(0x16100, 0x16140)]
+    texts = [f"a{c}b {c}{c} 1{c}2 {c}\u0301" for c in map(chr, codes) if not 0xD800 <= ord(c) < 0xE000]
+    want = [len(x.ids) for x in plain.encode_batch(texts, add_special_tokens=False)]
+    got = transducer.count_tokens(texts, *made).tolist()
+    assert [(hex(ord(t[1])), g, w) for t, g, w in zip(texts, got, want) if g != w] == []
+
+
 def test_maps_compose_associatively():
     r = np.random.default_rng(5)
     made = [transducer.Maps(r.integers(4, size=(1, 4)), r.integers(9, size=(1, 4))) for _ in range(3)]

@@ -40,6 +40,17 @@ def test_query_has_a_row_for_each(spark, name, table, key, columns):
     assert ids(out) == ids(spark.read.parquet(f"{DATA}/{table}.parquet"))
 
 
+def test_token_counts_are_the_library_s(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    data = DATA.replace("0.001", "0.01")
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: (len(t.encode()), len(e.ids), len(e.ids) > 2048) for (i, t), e in zip(texts.items(), plain.encode_batch(list(texts.values()), add_special_tokens=False))}
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in __spark_entry__.queries()["op4_transducer"](spark, data).collect()} == want
+
+
 def test_names():
     ops = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(re.findall(r"\d+", n)[0]) for n in ops) == list(range(1, 11))
