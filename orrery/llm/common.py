@@ -185,12 +185,34 @@ class Names:
         return out
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """XXH3 of each word."""
+def piece_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each piece data[start:end]: its bytes and their number for up to seven, else 63 bits of XXH3."""
     import xxhash
 
-    flat, digest = data.tobytes(), xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(flat[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+    size = end - start
+    loads = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    key = np.empty(len(start), np.uint64)
+    short = size < 8
+    bits = size[short].astype(np.uint64) * np.uint64(8)
+    key[short] = loads[start[short]] & ((np.uint64(1) << bits) - np.uint64(1)) | size[short].astype(np.uint64) << np.uint64(56)
+    if len(long := np.flatnonzero(~short)):
+        flat, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+        key[long] = [digest(flat[a:b]) | 1 << 63 for a, b in zip(start[long].tolist(), end[long].tolist())]
+    return key
+
+
+def equal_pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each piece, a piece of each group): pieces of a group have the same bytes. Longer pieces of one key are held
+    against the group's piece, and those that differ are groups of one."""
+    _, first, back = np.unique(key, return_index=True, return_inverse=True)
+    long = np.flatnonzero(end - start > 7)
+    long = long[first[back[long]] != long]
+    if len(long):
+        flat, lead = data.tobytes(), first[back[long]]
+        differ = [i for i, a, b, c, d in zip(long.tolist(), start[long].tolist(), end[long].tolist(), start[lead].tolist(), end[lead].tolist()) if flat[a:b] != flat[c:d]]
+        back[differ] = len(first) + np.arange(len(differ))
+        first = np.concatenate([first, np.array(differ, np.int64)])
+    return back, first
 
 
 def with_heavy(left: DataFrame, right: DataFrame, key: str, weight: str, share: int = 1000) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Names, kept, partitions, settled, slices, with_heavy, word_hashes, words
+from .common import Names, kept, mixed, partitions, piece_keys, settled, slices, with_heavy, words
 from .components import components
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -226,7 +226,7 @@ def _sets(data: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
     many = np.where(count >= width, count - width + 1, np.minimum(count, 1))
     before = np.concatenate([[0], np.cumsum(many)])
     begin = np.repeat(first[:-1], many) + np.arange(before[-1]) - np.repeat(before[:-1], many)
-    hashes = Names(word_hashes(data, starts, ends), width)(begin, np.minimum(begin + width, np.repeat(first[1:], many)))
+    hashes = Names(mixed(piece_keys(data, starts, ends)), width)(begin, np.minimum(begin + width, np.repeat(first[1:], many)))
     text = np.repeat(np.arange(len(many)), many)
     order = np.lexsort((hashes, text))
     hashes, text = hashes[order], text[order]

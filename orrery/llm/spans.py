@@ -141,16 +141,23 @@ def covered(spans: np.ndarray | None, size: int, reach: int) -> np.ndarray | Non
     return np.cumsum(edge[:-1]) > 0
 
 
-def with_spans(df: DataFrame, spans: DataFrame, id_col: str, text_col: str, buckets: int, fold: Callable, fields: dict[str, pa.DataType], schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Texts and the spans of their buckets meet; fold(text, spans or None) gives the columns `fields` of each text, which
-    come after doc_id and before the columns `carry` of its row."""
+def with_spans(texts: DataFrame, known: DataFrame, df: DataFrame, units: Callable, width: int, fold: Callable, fields: dict[str, pa.DataType], schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Texts in buckets (`texts_in_buckets` of df) meet what is known of their spans, (kind, bucket, blob): spans, and answers
+    to claims. fold(units of a text, spans or None) gives the columns `fields` of each text, which come after doc_id and
+    before the columns `carry` of its row."""
+    from .repeats import ANSWERS, SPANS, Answers
 
     def meet(texts: pa.Table, marks: pa.Table) -> pa.Table:
-        found = read_spans(marks)
+        kind = marks.column("kind").to_numpy()
+        found = read_spans(marks.filter(pa.array(kind == SPANS)))
+        answers = Answers(marks.filter(pa.array(kind == ANSWERS)).column("blob").to_pylist(), units)
         ids, rows, others = [], [], []
         for doc, var, text in read_texts(texts, others):
             ids.append(None if doc == NO_ID else doc)
-            rows.append(fold(text, found.get((doc, var))))
+            own, spans = units(text), found.get((doc, var))
+            if len(more := answers.spans(doc, var, own, width)):
+                spans = more if spans is None else np.concatenate([spans, more])
+            rows.append(fold(own, spans))
         cols = list(zip(*rows)) or [[]] * len(fields)
         out = pa.table({"doc_id": pa.array(ids, pa.int64()), **{n: pa.array(c, k) for (n, k), c in zip(fields.items(), cols)}})
         if carry and others:
@@ -166,6 +173,5 @@ def with_spans(df: DataFrame, spans: DataFrame, id_col: str, text_col: str, buck
     from pyspark.sql.pandas.types import to_arrow_type
 
     carried_types = [(c, to_arrow_type(df.schema[c].dataType)) for c in carry]
-    left = texts_in_buckets(df, id_col, text_col, buckets, carry).groupBy("bucket")
     more = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in carry)
-    return left.cogroup(spans.groupBy("bucket")).applyInArrow(meet, f"doc_id long, {schema}{more}")
+    return texts.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(meet, f"doc_id long, {schema}{more}")

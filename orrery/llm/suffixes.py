@@ -2,7 +2,7 @@
 
 Sampling. Of each `width`-byte string the `gram` bytes with the least hash are its key, so equal strings have one key at one
 offset. Neighbouring strings with the same key make a stretch. Only (key, name of the stretch, place) travel, to the key's
-bucket. Stretches that a smaller document repeats whole end there.
+bucket. Stretches that a smaller document repeats whole end there: they are claims, compared byte by byte (`repeats.py`).
 
 Sorting. The others whose key stands in several documents, at the ends of repeats, come back as text: per bucket the
 stretches, each with its key as one symbol, make a string whose suffixes linear grouping construction sorts. Suffixes that
@@ -11,34 +11,35 @@ share a whole window stand side by side; the smallest document among them keeps
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, kept, mixed, partitions, slices
+from .common import Prefix, joined, mixed, partitions, slices
 from .gsaca import suffix_array
-from .spans import by_bucket, bucket_of, covered, doc_ids, merged, pack, read_texts, span_rows, texts_in_buckets, unpack, variants, with_spans
+from .repeats import ANSWERS, FOUND, LOOK, MARK, ROW, SPANS, TOLD, fetched, numbers, opened, passed, rows, sent, spans_of, told_apart
+from .spans import covered, doc_ids, merged, span_rows, texts_in_buckets, variants, with_spans
 
 WIDTH, GRAM = 50, 20
 SYMBOLS = 200_000
-_ROW = "part int, kind int, bucket int, blob binary"
-MARK = np.dtype([("doc", "<i8"), ("var", "<u4"), ("place", "<u4"), ("part", "<i4"), ("key", "<u4"), ("many", "u1"), ("off", "u1")])
-_NAME = np.uint64((1 << 48) - 1)
-
-
-def _rows(out: list[dict], names: tuple[str, ...]) -> dict[str, pa.Array]:
-    kinds = {"part": pa.int32(), "kind": pa.int32(), "bucket": pa.int32(), "blob": pa.binary()}
-    return {n: pa.array([r[n] for r in out], kinds[n]) for n in names}
+PIECE = 1 << 22
 
 
 def stretches(data: np.ndarray, at: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Prefix]:
     """(first window, windows, key's place) of each stretch of texts end to end, and the hash of any substring."""
-    n, span = len(data), width - gram + 1
-    stretch = Prefix.of_bytes(data)
-    if n < width:
-        z = np.zeros(0, np.int64)
-        return z, z, z, stretch
+    stretch, found = Prefix.of_bytes(data), [(np.zeros(0, np.int64),) * 3]
+    for lo in range(0, max(len(data) - width + 1, 0), PIECE):  # windows that start in a piece; their keys' places fit 24 bits
+        inner = np.clip(at - lo, 0, min(PIECE + width - 1, len(data) - lo))
+        first, many, key = _stretches_of(inner, width, gram, lambda a, b, lo=lo: stretch(a + lo, b + lo))
+        found.append((first + lo, many, key + lo))
+    return (*(np.concatenate(x) for x in zip(*found)), stretch)
+
+
+def _stretches_of(at: np.ndarray, width: int, gram: int, stretch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, span = int(at[-1]), width - gram + 1
     low = np.uint64((1 << 24) - 1)
     ranked = np.full(-(-(n - gram + 1) // span) * span, ~np.uint64(0))
     place = np.arange(n - gram + 1)
@@ -50,15 +51,30 @@ def stretches(data: np.ndarray, at: np.ndarray, width: int, gram: int) -> tuple[
     many = np.maximum(np.diff(at) - width + 1, 0)
     window = np.repeat(at[:-1], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
     key = key[window].astype(np.int64)
-    base = window & ~np.int64(low)  # places count modulo 2 ** 24; a key lies at most `span` ahead
-    key = np.where(base + key < window, base + key + (1 << 24), base + key)
     new = np.ones(len(window), bool)
     new[1:] = (key[1:] != key[:-1]) | (window[1:] != window[:-1] + 1)
     cut = np.flatnonzero(new)
-    return window[cut], np.diff(np.concatenate([cut, [len(window)]])), key[cut], stretch
+    return window[cut], np.diff(np.concatenate([cut, [len(window)]])), key[cut]
+
+
+def _named(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Names of stretches of eight bytes or more: their bytes by eights, the last eight where fewer are left."""
+    loads = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    last = end - 8
+    name = mixed((end - start).astype(np.uint64))
+    for j in range(0, int((end - start).max()), 8):
+        name = joined(name, loads[np.minimum(start + j, last)])
+    return name
+
+
+def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes data[a:a+size] and data[b:b+size] are equal, for each of many."""
+    raw = data.tobytes()
+    return np.fromiter((raw[x : x + n] == raw[y : y + n] for x, y, n in zip(a.tolist(), b.tolist(), size.tolist())), bool, len(a))
 
 
 def _keyed(batch, data: np.ndarray, at: np.ndarray, width: int, gram: int, parts: int):
+    """Stretches for the buckets of keys, and spans of those that a smaller document of the batch holds."""
     doc, var = doc_ids(batch.column("id")), variants(data, at)
     first, many, place, stretch = stretches(data, at, width, gram)
     if not len(first):
@@ -66,103 +82,25 @@ def _keyed(batch, data: np.ndarray, at: np.ndarray, width: int, gram: int, parts
     owner = np.searchsorted(at, first, "right") - 1
     sort = np.lexsort((first - at[owner], doc[owner]))
     first, many, place, owner = (x[sort] for x in (first, many, place, owner))
-    key, off = stretch(place, place + gram), place - first
-    name = mixed(stretch(first, first + many - 1 + width) + (off * 256 + many).astype(np.uint64))
+    key, off, size = stretch(place, place + gram), place - first, many - 1 + width
+    name = _named(data, first, first + size)
     _, head, back = np.unique(name, return_index=True, return_inverse=True)
-    own = first - at[owner]
-    again = doc[owner] > doc[owner[head[back]]]  # a smaller document of this batch holds the same
-    out = []
+    lead = head[back]
+    again = doc[owner] > doc[owner[lead]]
+    if len(rest := np.flatnonzero(again)):
+        again[rest] = (size[rest] == size[lead[rest]]) & _same(data, first[rest], first[lead[rest]], size[rest])
+    own, out = first - at[owner], []
     if again.any():
-        o, m, f = owner[again], many[again], own[again]
-        spans = merged(np.repeat(doc[o], m), np.repeat(var[o], m), np.repeat(f, m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m))
-        out += [{**r, "part": r["bucket"]} for r in span_rows(spans, parts, kind=1)]
+        o = owner[again]
+        out += [{**r, "part": r["bucket"]} for r in spans_of(doc[o], var[o], own[again], many[again], parts)]
     keep = np.flatnonzero(~again)
-    part = ((key[keep] & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int32)
-    import zstandard
-
-    squeeze = zstandard.ZstdCompressor(level=1)
-    planes = lambda a: np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T)
-    for p, rows in by_bucket(part):
-        mine = keep[rows]
-        o = owner[mine]
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(o)) + 1])
-        counts = np.diff(np.concatenate([cut, [len(o)]])).astype("<u4")
-        small = pack(planes(doc[o[cut]].astype("<i8")), var[o[cut]], planes(counts), planes(own[mine].astype("<u4")), many[mine].astype("u1"), off[mine].astype("u1"))
-        names = np.ascontiguousarray(name[mine].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-        blob = pack(np.frombuffer(squeeze.compress(small), np.uint8), (key[mine] >> np.uint64(32)).astype("<u4"), names)
-        out.append({"part": p, "kind": 0, "bucket": -1, "blob": blob})
-    yield pa.record_batch(_rows(out, ("part", "kind", "bucket", "blob")))
-
-
-def _opened(blob: bytes) -> tuple[np.ndarray, ...]:
-    import zstandard
-
-    small, key, names = unpack(blob, "u1", "<u4", "u1")
-    doc, var, counts, place, many, off = unpack(zstandard.ZstdDecompressor().decompress(small.tobytes()), "u1", "<u4", "u1", "u1", "u1", "u1")
-    joined = lambda a, kind: np.ascontiguousarray(a.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-    counts = joined(counts, "<u4")
-    wide = np.zeros((len(key), 8), np.uint8)
-    wide[:, :6] = names.reshape(-1, 6)
-    return np.repeat(joined(doc, "<i8"), counts), np.repeat(var, counts), joined(place, "<u4"), many, off, key, wide.view("<u8").ravel()
-
-
-def _told_apart(table: pa.Table, parts: int) -> pa.Table:
-    """A bucket of keys: spans of stretches that a smaller document repeats whole (kind 1), and marks of the stretches that
-    must be looked at as text (kind 2). Spans found before pass through."""
-    kind, buckets, blobs = table.column("kind").to_numpy(), table.column("bucket").to_numpy(), table.column("blob")
-    out = [{"kind": 1, "bucket": int(buckets[i]), "blob": blobs[int(i)].as_py()} for i in np.flatnonzero(kind == 1)]
-    mine = [_opened(blobs[int(i)].as_py()) for i in np.flatnonzero(kind == 0)]
-    if mine:
-        part = table.column("part")[0].as_py()
-        doc, var, place, many, off, key, name = (np.concatenate(x) for x in zip(*mine))
-        order = np.lexsort((doc, name, key))
-        doc, var, place, many, off, key, name = (x[order] for x in (doc, var, place, many, off, key, name))
-        new_key = np.ones(len(key), bool)
-        new_key[1:] = key[1:] != key[:-1]
-        new_name = new_key.copy()
-        new_name[1:] |= name[1:] != name[:-1]
-        keys, names = np.flatnonzero(new_key), np.flatnonzero(new_name)
-        least = doc[names][np.cumsum(new_name) - 1]
-        whole = doc > least
-        some = (np.add.reduceat(new_name.astype(np.int64), keys) > 1) & (np.maximum.reduceat(doc, keys) > np.minimum.reduceat(doc, keys))
-        look = ~whole & some[np.cumsum(new_key) - 1]
-        hit = np.flatnonzero(whole)
-        hit = hit[np.lexsort((place[hit], var[hit], doc[hit]))]
-        m = many[hit].astype(np.int64)
-        windows = np.repeat(place[hit].astype(np.int64), m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-        out += span_rows(merged(np.repeat(doc[hit], m), np.repeat(var[hit], m), windows), parts, kind=1)
-        marks = np.zeros(int(look.sum()), MARK)
-        for n, x in (("doc", doc), ("var", var), ("place", place), ("key", key), ("many", many), ("off", off)):
-            marks[n] = x[look]
-        marks["part"] = part
-        for bucket, rows in by_bucket(bucket_of(marks["doc"], marks["var"], parts)):
-            out.append({"kind": 2, "bucket": bucket, "blob": marks[rows].tobytes()})
-    return pa.table(_rows(out, ("kind", "bucket", "blob")))
-
-
-def _fetched(texts: pa.Table, marks: pa.Table, width: int, gram: int) -> pa.Table:
-    """The marked stretches of a bucket's texts, without their keys' bytes, for the buckets of the keys."""
-    out = []
-    if marks.num_rows and texts.num_rows:
-        every = np.sort(np.concatenate([np.frombuffer(b, MARK) for b in marks.column("blob").to_pylist()]), order=["doc", "var", "place"])
-        cut = np.flatnonzero((np.diff(every["doc"]) != 0) | (np.diff(every["var"].astype(np.int64)) != 0)) + 1
-        of = {(int(m["doc"][0]), int(m["var"][0])): m for m in np.split(every, cut) if len(m)}
-        found, bodies = [], []
-        for doc, var, text in read_texts(texts):
-            if (m := of.pop((doc, var), None)) is not None:  # repeated rows are looked at once
-                found.append(m)
-                bodies += [text[p : p + o] + text[p + o + gram : p + n - 1 + width] for p, o, n in zip(m["place"].tolist(), m["off"].tolist(), m["many"].tolist())]
-        if found:
-            every = np.concatenate(found)
-            for part, rows in by_bucket(every["part"]):
-                out.append({"part": part, "blob": pack(every[rows].view(np.uint8), np.frombuffer(b"".join(bodies[i] for i in rows.tolist()), np.uint8))})
-    return pa.table(_rows(out, ("part", "blob")))
-
+    out += sent(doc, var, owner[keep], own[keep], many[keep], off[keep], key[keep], name[keep], parts)
+    yield pa.record_batch(rows(out, ("part", "kind", "bucket", "blob")))
 
-def _repeated(marks: np.ndarray, body: np.ndarray, at: np.ndarray, keys: np.ndarray, width: int, gram: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mark, window) of windows that a smaller document's stretch holds, and the hashes of the windows met.
 
-    `seen` are hashes of windows of smaller documents that an earlier string held."""
+def _repeated(marks: np.ndarray, body: np.ndarray, at: np.ndarray, keys: np.ndarray, width: int, gram: int, seen: set | None) -> tuple[np.ndarray, np.ndarray]:
+    """(mark, window) of windows that a smaller document's stretch holds. `seen` has digests of the windows of smaller documents
+    that an earlier string of the same key held, or is None where no string of the key comes before or after."""
     span, n = width - gram + 1, len(marks)  # a window is `span` symbols, its key being one
     size = np.diff(at)
     to = np.concatenate([[0], np.cumsum(size + 2)])  # with the key and an end
@@ -186,21 +124,33 @@ def _repeated(marks: np.ndarray, body: np.ndarray, at: np.ndarray, keys: np.ndar
     head = np.flatnonzero(np.concatenate([[True], ~same]))
     least = np.repeat(np.minimum.reduceat(docs, head), np.diff(np.concatenate([head, [len(docs)]])))
     hit = own[docs > least]
-    prints = np.zeros(len(mark), np.uint64)
-    named = symbols.astype(np.uint64)
-    named[to[:-1] + off] = keys.astype(np.uint64) + np.uint64(1 << 32)  # keys are the same in every string
-    prints[own] = Prefix(mixed(named))(starts, starts + span)
-    if len(seen):
-        hit = np.union1d(hit, np.flatnonzero(np.isin(prints, seen)))
-    return mark[hit], window[hit], prints
+    if seen is not None:
+        raw = symbols.astype("<u4").tobytes()  # the key's symbol is the same in every string of its own
+        digest = [hashlib.blake2b(raw[4 * p : 4 * (p + span)], digest_size=16).digest() for p in starts.tolist()]
+        hit = np.union1d(hit, own[np.fromiter((d in seen for d in digest), bool, len(digest))])
+        seen.update(digest)
+    return mark[hit], window[hit]
 
 
 def _sorted(table: pa.Table, parts: int, width: int, gram: int, most: int = SYMBOLS) -> pa.Table:
-    """A bucket's stretches: spans of the windows that a smaller document holds."""
-    sent = [unpack(b, "u1", "u1") for b in table.column("blob").to_pylist()]
-    marks = np.concatenate([m.view(MARK) for m, _ in sent])
-    body = np.concatenate([b for _, b in sent])
-    at = np.concatenate([[0], np.cumsum(marks["many"].astype(np.int64) + (width - gram - 1))])
+    """A bucket's stretches: spans of the windows that a smaller document holds. Spans and answers pass through."""
+    done = passed(table, ANSWERS, "bucket")
+    got = [opened(b, "u1", "<u4", "u1") for b in table.filter(pa.array(table.column("kind").to_numpy() == LOOK)).column("blob").to_pylist()]
+    if not got:
+        return pa.table(rows(done, ("kind", "bucket", "blob")))
+    marks = np.concatenate([numbers(m, MARK) for m, _, _ in got])
+    body = np.concatenate([b for _, _, b in got])
+    del got
+    size = marks["many"].astype(np.int64) + (width - 1)
+    begin = np.cumsum(size) - size + marks["off"]
+    # the keys' own bytes tell keys apart; the rest of a stretch is what is left of them
+    grams = np.ascontiguousarray(body[begin[:, None] + np.arange(gram)]).view(f"V{gram}").ravel()
+    marks["key"] = np.unique(grams, return_inverse=True)[1]
+    edge = np.zeros(len(body) + 1, np.int8)
+    edge[begin] += 1
+    edge[begin + gram] -= 1
+    body = body[np.cumsum(edge[:-1], dtype=np.int8) == 0]
+    at = np.concatenate([[0], np.cumsum(size - gram)])
     # a shared window shares half of its bytes beside the key, on the one side or on the other; windows of a stretch that
     # has company on one side only reach over that side's half, and the rest of the stretch need not be sorted
     beside = width - gram
@@ -208,11 +158,11 @@ def _sorted(table: pa.Table, parts: int, width: int, gram: int, most: int = SYMB
     hashes, off, size = Prefix.of_bytes(body), marks["off"].astype(np.int64), np.diff(at)
     company = []
     for has, a in ((off >= side, at[:-1] + off - side), (size - off >= side, at[:-1] + off)):
-        rows = np.flatnonzero(has)
-        value = mixed(hashes(a[rows], a[rows] + side) + mixed(marks["key"][rows].astype(np.uint64)))
+        able = np.flatnonzero(has)
+        value = mixed(hashes(a[able], a[able] + side) + mixed(marks["key"][able].astype(np.uint64)))
         _, back, count = np.unique(value, return_inverse=True, return_counts=True)
         known = np.zeros(len(marks), bool)
-        known[rows[count[back] > 1]] = True
+        known[able[count[back] > 1]] = True
         company.append(known)
     left, right = company
     many = marks["many"].astype(np.int64)
@@ -221,7 +171,7 @@ def _sorted(table: pa.Table, parts: int, width: int, gram: int, most: int = SYMB
     order = np.flatnonzero((left | right) & (last > skip))
     order = order[np.lexsort((marks["place"][order], marks["doc"][order], marks["key"][order]))]
     if not len(order):
-        return pa.table(_rows([], ("bucket", "blob")))
+        return pa.table(rows(done, ("kind", "bucket", "blob")))
     marks_ = marks[order]
     marks_["place"] += skip[order].astype(np.uint32)
     marks_["off"] -= skip[order].astype(np.uint8)
@@ -230,7 +180,7 @@ def _sorted(table: pa.Table, parts: int, width: int, gram: int, most: int = SYMB
     inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     body_ = body[np.repeat(at[order] + skip[order], size) + inner]
     at_ = np.concatenate([[0], np.cumsum(size)])
-    out, lo, seen, seen_key = [], 0, np.zeros(0, np.uint64), None
+    out, lo, seen, seen_key = [], 0, None, None
     while lo < len(marks_):
         hi = max(lo + 1, int(np.searchsorted(at_, at_[lo] + most, "right")) - 1)
         key = marks_["key"][lo:hi]
@@ -244,17 +194,17 @@ def _sorted(table: pa.Table, parts: int, width: int, gram: int, most: int = SYMB
                 while hi < len(marks_) and marks_["key"][hi] == key[0] and marks_["doc"][hi] == last:
                     hi += 1
             key = marks_["key"][lo:hi]
+        goes_on = hi < len(marks_) and marks_["key"][hi] == key[0]
         if seen_key != key[0]:
-            seen, seen_key = np.zeros(0, np.uint64), key[0]
+            seen, seen_key = (set() if goes_on else None), key[0]
         part = marks_[lo:hi]
-        m, w, prints = _repeated(part, body_, at_[lo : hi + 1], key, width, gram, seen)
-        if hi < len(marks_) and marks_["key"][hi] == key[0]:
-            seen = np.union1d(seen, prints)
+        m, w = _repeated(part, body_, at_[lo : hi + 1], key, width, gram, seen)
         out.append((part["doc"][m], part["var"][m], part["place"][m].astype(np.int64) + w))
         lo = hi
     doc, var, place = (np.concatenate(x) for x in zip(*out))
     sort = np.lexsort((place, var, doc))
-    return pa.table(_rows(list(span_rows(merged(doc[sort], var[sort], place[sort]), parts)), ("bucket", "blob")))
+    done += span_rows(merged(doc[sort], var[sort], place[sort]), parts, kind=SPANS)
+    return pa.table(rows(done, ("kind", "bucket", "blob")))
 
 
 def without_shared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, carry: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
@@ -264,22 +214,23 @@ def without_shared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A byte of a whole UTF-8 text goes if it lies in a `width`-byte string that also starts in a document with a smaller
     id; strings do not cross documents and are judged on the input. Null texts are empty; a null id counts as the
     largest. Rows that share an id are one document: none takes from the other. Repeated rows each come back; other
-    columns are not read; an empty table gives an empty result. Kept bytes may cut characters; with `characters` those that are covered in part
-    stay whole, and `kept` is valid UTF-8.
+    columns are not read; an empty table gives an empty result. Kept bytes may cut characters; with `characters` those that
+    are covered in part stay whole, and `kept` is valid UTF-8. No byte goes on the word of a hash: whole stretches are
+    compared with their lead, windows by their place in the suffix order. `width` is 8 at least.
     """
+    if width < 8 or gram >= width:
+        raise ValueError("strings of 8 bytes or more, and a shorter gram")
     parts = partitions(df.sparkSession)
 
     def emit(batches):
         for batch, data, at in slices(batches, "text"):
             yield from _keyed(batch, data, at, width, gram, parts)
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(emit, _ROW)
-    told = kept(rows.groupBy("part").applyInArrow(lambda t: _told_apart(t, parts), "kind int, bucket int, blob binary"))
-    marks = told.where("kind = 2").select("bucket", "blob")
-    texts = texts_in_buckets(df, id_col, text_col, parts)
-    found = texts.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(lambda t, m: _fetched(t, m, width, gram), "part int, blob binary")
-    ends = found.groupBy("part").applyInArrow(lambda t: _sorted(t, parts, width, gram), "bucket int, blob binary")
-    spans = told.where("kind = 1").select("bucket", "blob").unionAll(ends)
+    keyed = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(emit, ROW)
+    told = keyed.groupBy("part").applyInArrow(lambda t: told_apart(t, parts, False), TOLD)
+    texts = texts_in_buckets(df, id_col, text_col, parts, carry)
+    found = texts.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(lambda t, m: fetched(t, m, width, parts, bytes, bytes), FOUND)
+    known = found.groupBy("part").applyInArrow(lambda t: _sorted(t, parts, width, gram), TOLD)
 
     def fold(text: bytes, known: np.ndarray | None) -> tuple[int, int, int, bytes]:
         gone = covered(known, len(text), width)
@@ -292,4 +243,4 @@ def without_shared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return len(text), int(gone.sum()), runs, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
     fields = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
-    return with_spans(df, spans, id_col, text_col, parts, fold, fields, "n_bytes long, n_removed long, n_spans long, kept binary", carry)
+    return with_spans(texts, known, df, bytes, width, fold, fields, "n_bytes long, n_removed long, n_spans long, kept binary", carry)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import equal_pieces, piece_keys, slices
 
 CHUNK = 1 << 15
 MOST_STATES = 120_000
@@ -185,35 +185,13 @@ class Maps:
         return now
 
 
-def equal_pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(group of each piece, a piece of each group): pieces of a group have the same bytes. Up to seven bytes are their own
-    key; longer pieces are grouped by hash and held against the group's piece, and those that differ are groups of one."""
-    import xxhash
-
-    size = end - start
-    words = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
-    key = np.empty(len(start), np.uint64)
-    short = size < 8
-    bits = size[short].astype(np.uint64) * np.uint64(8)
-    key[short] = words[start[short]] & ((np.uint64(1) << bits) - np.uint64(1)) | size[short].astype(np.uint64) << np.uint64(56)
-    long = np.flatnonzero(~short)
-    flat = data.tobytes() if len(long) else b""
-    key[long] = [xxhash.xxh3_64_intdigest(flat[a:b]) | 1 << 63 for a, b in zip(start[long].tolist(), end[long].tolist())]
-    _, first, back = np.unique(key, return_index=True, return_inverse=True)
-    if len(long):
-        lead = first[back[long]]
-        differ = [i for i, a, b, c, d in zip(long.tolist(), start[long].tolist(), end[long].tolist(), start[lead].tolist(), end[lead].tolist()) if flat[a:b] != flat[c:d]]
-        back[differ] = len(first) + np.arange(len(differ))
-        first = np.concatenate([first, np.array(differ, np.int64)])
-    return back, first
-
-
 def piece_tokens(transducer: Transducer, data: np.ndarray, start: np.ndarray, end: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
     """Tokens of each piece data[start:end]; pieces are in order and do not overlap."""
     cut = start // chunk != (end - 1) // chunk
     whole = np.flatnonzero(~cut)
     out = np.zeros(len(start), np.int64)
-    back, first = equal_pieces(data, start[whole], end[whole])  # equal pieces take equal paths
+    a, b = start[whole], end[whole]
+    back, first = equal_pieces(data, a, b, piece_keys(data, a, b))  # equal pieces take equal paths
     rep = whole[first]
     _, counts = transducer.run(data, start[rep], end[rep], np.ones(len(rep), bool), np.zeros(len(rep), np.int32))
     out[whole] = counts[back]

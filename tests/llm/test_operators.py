@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import boosting, decontaminate, gsaca, langid, packing, permutation, quality, simhash, substring, suffixes, transducer, warc
+from orrery.llm import boosting, decontaminate, gsaca, langid, packing, permutation, quality, repeats, simhash, substring, suffixes, transducer, warc
 from orrery.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -331,6 +331,37 @@ def test_repeated_windows(spark, width, rounds):
     assert sorted(map(tuple, out.collect()), key=str) == brute_windows(rows, width)
 
 
+def test_repeated_windows_that_weak_hashes_confuse(spark):
+    """Words and windows on which polynomials modulo a power of two agree, and words that differ late."""
+    r = random.Random(20)
+    plain = [f"w{i}" for i in range(19)]
+    rows = []
+    for a, b in (("a", "b"), ("e", "r")):
+        for x in thue_morse(a, b, 1024):
+            rows.append((len(rows), " ".join([*plain, x])))
+    for x in thue_morse("one ", "two ", 64) + thue_morse("1 ", "2 ", 1024):
+        rows.append((len(rows), x))
+    long = "x" * 3000
+    rows += [(len(rows) + k, " ".join([*plain, long + end])) for k, end in enumerate(("a", "b", "a"))]
+    rows += [(100 + k, " ".join(r.choice(plain[:2]) for _ in range(400))) for k in range(4)]
+    out = substring.without_repeats(documents(spark, rows)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert got == brute_windows(rows, 20)
+    assert {i: n for i, _, n, _ in got}[1] == 0
+
+
+def test_claims_are_held_against_the_text():
+    """A claim that the lead's text does not bear out is an error, never a removal."""
+    claims = np.zeros(2, repeats.CLAIM)
+    claims["doc"], claims["lead"], claims["many"], claims["place"], claims["lead_place"] = 2, 1, 1, [0, 1], [5, 6]
+    blob = lambda body: repeats.squeezed(repeats.planes(claims), np.zeros(2, "<u4"), np.array([5], "<i8"), np.array([len(body)], "<u4"), np.frombuffer(body, np.uint8))
+    own = b"a b c d".split()
+    good = repeats.Answers([blob(b"a b c d")], bytes.split).spans(2, 0, own, 3)
+    assert good[["first", "last"]].tolist() == [(0, 1)]
+    with pytest.raises(ValueError, match="differ"):
+        repeats.Answers([blob(b"a b c e")], bytes.split).spans(2, 0, own, 3)
+
+
 def test_repeated_windows_of_nothing(spark):
     assert substring.without_repeats(documents(spark, [])).count() == 0
 
@@ -427,6 +458,22 @@ def test_shared_strings(spark, monkeypatch, width, gram, most):
     assert sorted(map(tuple, out.collect()), key=str) == brute_strings(rows, width)
 
 
+def test_stretches_of_a_text_in_pieces(monkeypatch):
+    """Keys do not depend on where a long text is cut, nor on ties across the cut."""
+    data = np.frombuffer((b"abcab" * 300 + bytes(range(65, 91)) * 20 + b"a" * 200)[:2000], np.uint8)
+    at = np.array([0, 700, 700, 1990, 2000])
+
+    def keys(piece):
+        monkeypatch.setattr(suffixes, "PIECE", piece)
+        first, many, key, _ = suffixes.stretches(data, at, 50, 20)
+        window = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return dict(zip(window.tolist(), np.repeat(key, many).tolist()))
+
+    whole = keys(1 << 22)
+    assert set(whole) == {w for a, b in zip(at, at[1:]) for w in range(a, b - 49)} and all(w <= k <= w + 30 for w, k in whole.items())
+    assert keys(64) == keys(333) == whole
+
+
 def test_shared_strings_keep_characters_and_columns(spark):
     text = "é" * 40
     rows = [(1, "a" + text, "x", None), (2, "b" + text + "ß", "y", "s"), (3, None, None, None)]
