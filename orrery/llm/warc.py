@@ -2,7 +2,8 @@
 
 An archive is a table of rows (archive, record_id, chunk_no, chunks, data, running): the data of a record's rows in order
 of chunk_no are its bytes, so no row and no buffer holds more than a chunk of a payload. `running` is the SHA-1 of the
-payload up to and with the chunk, carried forward chunk by chunk on writing and checked likewise on reading.
+payload up to and with the chunk, carried forward chunk by chunk on writing and checked likewise on reading. A payload is
+cut into chunk rows before it leaves the JVM; the writer and the reader hold one chunk of a record at a time.
 
 Which record is the response of a group of equal payloads is found on (page_id, digest) rows alone.
 """
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import kept, partitions, with_heavy, written
 
 CHUNK = 1 << 18
+ROWS = 64  # chunk rows in memory at once
+MOST_BROADCAST = 200_000  # revisits known on every executor
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 ARCHIVE = "archive int, record_id string, chunk_no int, chunks int, data binary, running binary"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, chunks int"
@@ -52,19 +55,6 @@ def _header(kind: str, record: str, page: int | None, url: str | None, digest: s
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + HTTP
 
 
-def record_chunks(kind: str, record: str, page, url, digest: str, payload: bytes, refers, chunk: int) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """(chunk_no, chunks, data, running digest) of a record; the first chunk has its header, the last its end."""
-    head, view, sha = _header(kind, record, page, url, digest, len(payload), refers), memoryview(payload), hashlib.sha1()
-    if kind == "revisit":
-        yield 0, 1, head + b"\r\n\r\n", sha.digest()
-        return
-    n = max(1, -(-len(payload) // chunk))
-    for k in range(n):
-        part = view[k * chunk : (k + 1) * chunk]
-        sha.update(part)
-        yield k, n, (head if k == 0 else b"") + part.tobytes() + (b"\r\n\r\n" if k == n - 1 else b""), sha.digest()
-
-
 def read_record(chunks: Iterator[tuple[int, int, bytes, bytes]], record: str) -> tuple:
     """Fold a record's chunks, checking lengths and digests; holds one chunk at a time."""
     sha, fields, seen, body, state = hashlib.sha1(), {}, 0, 0, None
@@ -113,34 +103,34 @@ def write_archive(pages: DataFrame, min_revisit_bytes: int = 0, chunk: int = CHU
     is none. A null url is left out. Other columns are not read; an empty table gives an empty archive.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.coalesce(F.encode(F.col("html"), "UTF-8"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    small = kept(rows.select("page_id", "digest", F.octet_length("payload").cast("long").alias("size")))
+    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
+    small = kept(rows.select("page_id", "digest", "size"))
     heads = small.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n"))
     named = with_heavy(small, heads, "digest", "n")
-    refers = named.where("head is not null and (page_id is null or page_id <> head)").select("page_id", "digest", F.col("head")).distinct()
-    joined = rows.join(refers.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "head"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
+    refers = kept(named.where("head is not null and (page_id is null or page_id <> head)").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "head").distinct())
+    side = F.broadcast(refers) if refers.count() <= MOST_BROADCAST else refers  # else payloads travel once
+    joined = rows.join(side, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
+    chunks = F.when(F.col("head").isNotNull(), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("size") / chunk))).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(k.alias("no"), F.when(F.col("head").isNull(), F.substring(F.col("payload"), k * chunk + 1, F.lit(chunk))).alias("data")))
+    cut = joined.withColumn("chunks", chunks).select("page_id", "url", "digest", "size", "head", "chunks", F.explode(cut).alias("c")).select("page_id", "url", "digest", "size", "head", "chunks", "c.no", "c.data")
 
     def write(batches):
-        task = TaskContext.get().partitionId()
-        count = 0
+        task, count, record, sha = TaskContext.get().partitionId(), 0, "", None
         for batch in batches:
-            out: list[tuple] = []
-            held = 0
-            for page, url, payload, digest, head in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "head"))):
-                page, url, payload, head = page.as_py(), url.as_py(), payload.as_py(), head.as_py()
-                record = uuid.uuid5(uuid.NAMESPACE_URL, f"record:{page}:{task}:{count}").urn
-                count += 1
-                code = base64.b32encode(bytes.fromhex(digest.as_py())).decode()
-                for row in record_chunks("response" if head is None else "revisit", record, page, url, code, payload, head, chunk):
-                    out.append((task, record, *row))
-                    held += len(row[2])
-                    if held > 8 * chunk:
-                        yield _rows(out)
-                        out, held = [], 0
-            if out:
+            for lo in range(0, batch.num_rows, ROWS):
+                out: list[tuple] = []
+                for page, url, digest, size, head, chunks, no, data in zip(*(c.to_pylist() for c in batch.slice(lo, ROWS).columns)):
+                    kind = "response" if head is None else "revisit"
+                    if no == 0:
+                        record, sha = uuid.uuid5(uuid.NAMESPACE_URL, f"record:{page}:{task}:{count}").urn, hashlib.sha1()
+                        count += 1
+                    data = data or b""
+                    sha.update(data)
+                    start = b"" if no else _header(kind, record, page, url, base64.b32encode(bytes.fromhex(digest)).decode(), size, head)
+                    out.append((task, record, no, chunks, start + data + (b"\r\n\r\n" if no == chunks - 1 else b""), sha.digest()))
                 yield _rows(out)
 
-    return written(joined.select("page_id", "url", "payload", "digest", "head").mapInArrow(write, ARCHIVE))
+    return written(cut.mapInArrow(write, ARCHIVE))
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
@@ -155,7 +145,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows():
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("record_id", "chunk_no", "chunks", "data", "running")))
+            for lo in range(0, batch.num_rows, ROWS):
+                some = batch.slice(lo, ROWS)
+                yield from zip(*(some.column(c).to_pylist() for c in ("record_id", "chunk_no", "chunks", "data", "running")))
 
     out = []
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32())
