@@ -22,7 +22,8 @@ PIVOTS = 128
 PREFIX = 64
 BLOCK = 8192
 SLAB = 8192
-SHARE, LEAST = 1 / 6, 512
+LEAST = 64  # vectors of a block that are reranked at least
+SAMPLE, TRIALS, RECALL = 2048, 128, 0.97  # vectors and queries by which the reranked share is fitted, and what to reach
 BLOCK_ROW = "block long, rows int, vectors binary, first binary, ids binary, starts binary, members binary, places binary"
 
 
@@ -45,6 +46,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def fitted_share(unit: np.ndarray, pivots: int, prefix: int, k: int) -> float:
+    """The share of a sample that must be reranked by exact cosine so that RECALL of the true k nearest are among them."""
+    trials = min(TRIALS, len(unit) // 2)
+    if trials < 8:
+        return 1.0
+    order = nearest_pivots(unit, unit[:pivots], prefix)
+    place = np.full((len(unit), min(pivots, len(unit))), order.shape[1], np.int32)
+    np.put_along_axis(place, order.astype(np.int64), np.arange(order.shape[1], dtype=np.int32)[None, :].repeat(len(unit), 0), 1)
+    asked = np.arange(len(unit) - trials, len(unit))  # none of them a pivot, if there are enough
+    needed = []
+    for q in asked:
+        foot = np.abs(place - place[q]).sum(1)
+        near = unit @ unit[q]
+        near[q], foot[q] = -2, 1 << 30
+        rank = np.empty(len(unit), np.int64)
+        rank[np.argsort(foot, kind="stable")] = np.arange(len(unit))
+        needed.append(rank[np.argsort(-near)[:k]] + 1)
+    return float(np.quantile(np.concatenate(needed), RECALL)) / len(unit)
+
+
 def _search_block(queries: np.ndarray, q_order: np.ndarray, vectors: np.ndarray, unit: np.ndarray, lists: tuple, rerank: int):
     """Yields for each query the rows of the block that are best by footrule, and their cosines."""
     starts, members, places = lists
@@ -59,7 +80,7 @@ def _search_block(queries: np.ndarray, q_order: np.ndarray, vectors: np.ndarray,
         yield i, rows, (unit[rows] * queries[i]).sum(1)
 
 
-def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, every: int = 50, pivots: int = PIVOTS, prefix: int = PREFIX, block: int = BLOCK, share: float = SHARE, least: int = LEAST, slab: int = SLAB) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, every: int = 50, pivots: int = PIVOTS, prefix: int = PREFIX, block: int = BLOCK, share: float | None = None, least: int = LEAST, slab: int = SLAB) -> DataFrame:
     """Per query and rank 1..k: query_id, rank, vec_id, score (cosine in double precision, largest first, ties to the
     smaller vec_id).
 
@@ -68,7 +89,8 @@ def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     the length that most vectors have (ties: the smaller). Rows repeated with id and vector count once. Fewer candidates
     than k give fewer rows; other columns are not read; an empty table gives an empty result. Pivots are a bounded sample
     of distinct vectors; every vector is indexed. Of each block the best `share` by footrule (at least `least` vectors)
-    are reranked, so recall does not fall as blocks are added.
+    are reranked, so recall does not fall as blocks are added. If None, the share is fitted on a sample of SAMPLE vectors
+    so that RECALL of its nearest are found: vectors with less structure, or more dimensions, get a larger one.
     """
     spark = df.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
@@ -84,8 +106,10 @@ def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     firsts = clean.distinct().withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= k + 1)  # more can't be among k
     classes = kept(firsts.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     total = classes.count()
-    sample = np.array([r["v"] for r in classes.orderBy(F.xxhash64("v"), "v").select("v").limit(pivots).collect()])
-    anchor = _unit(sample)
+    drawn = classes.orderBy(F.xxhash64("v"), "v").select("v").limit(max(pivots, SAMPLE if share is None else 0)).toArrow()
+    sample = _unit(drawn.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+    anchor = sample[:pivots]
+    share = fitted_share(sample, pivots, prefix, k) if share is None else share
     blocks = max(1, -(-total // block))
 
     def build(table: pa.Table) -> pa.Table:
