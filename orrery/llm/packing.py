@@ -8,6 +8,7 @@ into the open window with the least sufficient room, which a segment tree indexe
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from functools import lru_cache
 
@@ -16,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices
+from .common import slices
+
+GROUP = 50_000  # texts whose pieces are packed together
 
 
 @lru_cache(maxsize=2)
@@ -33,12 +36,13 @@ def encoder(name: str):
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    plain = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-    special = [t.content for t in plain.get_added_tokens_decoder().values()]
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as file:
+        special = [t["content"] for t in json.load(file)["added_tokens"]]
+    plain = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(public_tokenizers.path(f"{name}.json")))
 
     def encode(text: str) -> list[int]:
         if any(t in text for t in special):
-            return plain.encode(text, add_special_tokens=False).ids
+            return plain().encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
@@ -113,11 +117,12 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabula
 
     Ids are those of the whole text, then `end_id` (None: nothing). A null or empty text is its end id alone (no piece
     where there is none). Full windows are sequences of their own; the rests share sequences within a group. A sequence's
-    pieces lie gapless from offset 0. `groups` (the session's shuffle partitions if None) bounds what one task packs.
+    pieces lie gapless from offset 0. `groups` bounds what one task packs: one for each GROUP rows if None, whatever the
+    session's settings are, so that few sequences stay open.
     Repeated rows and rows with a null id are packed like any others; other columns are not read; an empty table gives an
     empty result. The same table gives the same packing.
     """
-    groups = groups or partitions(df.sparkSession)
+    groups = groups or 1 + df.count() // GROUP
     cut = pieces(df, id_col, text_col, vocabulary, size, end_id).withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
