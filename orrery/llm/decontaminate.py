@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
 Numbers, names and units become typed placeholders, so that a question with other values keeps its template. Windows of
-template words are hash-joined with those of the benchmark; the words are then compared, and the values in the slots of an
-alignment must map one to one: a question with new values passes, a chance meeting of templates does not.
+template words are hash-joined with those of the benchmark; the words are then compared, and each value of the item must stand for one
+value of the text: a question with new values passes, a chance meeting of templates does not.
 """
 
 from __future__ import annotations
@@ -68,10 +68,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """A row per document and benchmark item that it holds: doc_id, item_id, windows, coverage, slots, verbatim.
 
     Every window of `words` template words of the whole text is looked up; an item of fewer words is one window of its
-    length. Templates with under `literals` words outside placeholders say nothing: such windows count where their slots hold
-    the item's own values, and those of under `literals` words in all are left out, and so are items of none but such. A
-    pair is a leak if one alignment of text and item, with slots that map one to one, covers at least `coverage` of the
-    item's windows, of all or of those that need not agree in values. `verbatim` tells that every slot holds the item's own value. Null or empty texts
+    length. Templates with under `literals` words outside placeholders say nothing by themselves: such windows, and so short
+    items, count where their slots hold the item's own values. A pair is a leak if one alignment of text and item covers
+    at least `coverage` of the item's windows, of all or of those that need not agree in values, and no value of the item
+    stands for two of the text; two of the item's may have become equal. `verbatim` tells that every slot holds the item's own value. Null or empty texts
     hold nothing; rows with a null id are reported with it; repeated rows are one document; other columns are not read;
     an empty table on either side gives an empty result. The benchmark's windows are broadcast only below
     MOST_BROADCAST rows, and shuffled beyond.
@@ -89,7 +89,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         hashed = _windows(fits.select("item", F.col("item_shape").alias("shape")), n).withColumnRenamed("pos", "at").join(values, ["item", "at"])
         placed = hashed.join(items.select("item", "item_shape"), "item").withColumn("piece", F.slice("item_shape", F.col("at"), F.lit(n)))
         few = F.size(literal) < literals
-        parts.append(placed.where(~few | F.lit(n >= literals)).select("item", F.lit(n).alias("width"), "at", few.alias("few"), F.when(few, F.col("exact")).otherwise(F.col("hash")).alias("hash")))
+        parts.append(placed.select("item", F.lit(n).alias("width"), "at", few.alias("few"), F.when(few, F.col("exact")).otherwise(F.col("hash")).alias("hash")))
     spots = settled(reduce(DataFrame.unionAll, parts))
     dense = {r["width"] for r in spots.where("few").select("width").distinct().collect()}  # under `words` values
     wanted = spots.groupBy("hash", "width", "few").agg(F.collect_list(F.struct("item", "at")).alias("spots"))
@@ -98,7 +98,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     shaped = rows.select("id", shape.alias("shape"))  # a column of its own: worked out once a text
     tables = [(shaped, n, "shape", False) for n in widths]
-    if dense:  # only texts with enough placeholders in them have windows of few literals
+    if dense:  # only texts with enough placeholders in them have long windows of few literals
         slotted = rows.select("id", raw.alias("raw"), shape.alias("shape")).where(F.size(F.filter("shape", lambda x: F.startswith(x, F.lit("<")))) > min(dense) - literals)
         valued = slotted.select("id", _values(F.col("raw"), F.col("shape")).alias("values"))
         tables += [(valued, n, "values", True) for n in sorted(dense)]
@@ -119,7 +119,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     lined = per.groupBy("id", "item", "shift").agg(F.countDistinct("at").alias("windows"), F.countDistinct(F.when(~F.col("few"), F.col("at"))).alias("wide"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     distinct = lambda f: F.size(F.array_distinct(F.transform("slots", f)))
     pair = lambda s: F.struct(s["kind"], s["theirs"], s["ours"])
-    one = (distinct(pair) == distinct(lambda s: F.struct(s["kind"], s["theirs"]))) & (distinct(pair) == distinct(lambda s: F.struct(s["kind"], s["ours"])))
+    one = distinct(pair) == distinct(lambda s: F.struct(s["kind"], s["theirs"]))
     total = spots.groupBy("item").agg(F.count("*").alias("all"), F.count_if(~F.col("few")).alias("wides"))
     share = F.greatest(F.col("windows") / F.col("all"), F.when(F.col("wides") > 0, F.col("wide") / F.col("wides")))
     good = lined.where(one).join(total, "item").withColumn("coverage", share).where(F.col("coverage") >= coverage)
