@@ -1,70 +1,11 @@
-"""Corpus pipeline over documents: language ID, near-duplicates, shared substrings, benchmark leaks, packing.
+"""Corpus pipeline over documents; the stages are in `orrery/llm/stages.py`.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; all but the last return the
-columns of documents. `run` writes each stage's rows as Parquet to the shared folder and rereads them. Rows with a null
-doc_id can't be named by a decision: the filters leave them in.
+`run` applies STAGES in order: each works on the Parquet rows that the one before it kept.
 """
 
-from __future__ import annotations
+from orrery.llm.stages import COLUMNS, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from orrery.llm.common import release, settled, written
-from orrery.llm.decontaminate import leaks
-from orrery.llm.langid import identify
-from orrery.llm.packing import pack
-from orrery.llm.simhash import near_duplicates
-from orrery.llm.suffixes import without_shared
-from orrery.session import ship
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; `lang` is what they declare, `source` their host."""
-    found = identify(docs, declared=F.col("lang"), host=F.col("source"))
-    rejected = found.where(~F.col("accepted")).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(COLUMNS)
-
-
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id. Of repeated rows one stays."""
-    groups = settled(near_duplicates(docs))
-    copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
-    ids = groups.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("d")).first()
-    if ids["n"] != ids["d"]:
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
-    return left
-
-
-def shared_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that one with a smaller doc_id holds; those of which nothing stays go."""
-    cut = without_shared(docs, carry=("lang", "source"), characters=True)
-    rows = cut.withColumn("text", F.col("kept").cast("string")).where(~((F.col("n_removed") > 0) & F.col("text").rlike(r"^\s*$")))
-    return rows.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
-
-
-def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
-    return pack(docs)
-
-
-STAGES = [("language", language), ("near_copies", near_copies), ("shared_text", shared_text), ("benchmark_free", benchmark_free), ("packing", packing)]
 #: SQL can't express the stages; tests hold them against brute-force versions.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
-        release()
-    return docs
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "run"]
