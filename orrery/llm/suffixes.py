@@ -26,6 +26,7 @@ from .spans import covered, doc_ids, merged, span_rows, texts_in_buckets, varian
 WIDTH, GRAM = 50, 20
 SYMBOLS = 200_000
 PIECE = 1 << 22
+STEP = 2  # windows of a core
 
 
 def stretches(data: np.ndarray, at: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Prefix]:
@@ -144,31 +145,39 @@ def _sorted(table: pa.Table, parts: int, width: int, gram: int, most: int = SYMB
     size = marks["many"].astype(np.int64) + (width - 1)
     begin = np.cumsum(size) - size + marks["off"]
     # the keys' own bytes tell keys apart; the rest of a stretch is what is left of them
-    grams = np.ascontiguousarray(body[begin[:, None] + np.arange(gram)]).view(f"V{gram}").ravel()
-    marks["key"] = np.unique(grams, return_inverse=True)[1]
+    grams = np.empty((len(begin), gram), np.uint8)
+    for j in range(gram):
+        grams[:, j] = body[begin + j]
+    _, head, back = np.unique(grams.view(f"V{gram}").ravel(), return_index=True, return_inverse=True)
+    rank = np.empty(len(head), np.uint32)
+    rank[np.lexsort((np.arange(len(head)), marks["key"][head]))] = np.arange(len(head))  # neighbours by hash have little in common
+    marks["key"] = rank[back]
+    del grams
     edge = np.zeros(len(body) + 1, np.int8)
     edge[begin] += 1
     edge[begin + gram] -= 1
     body = body[np.cumsum(edge[:-1], dtype=np.int8) == 0]
     at = np.concatenate([[0], np.cumsum(size - gram)])
-    # a shared window shares half of its bytes beside the key, on the one side or on the other; windows of a stretch that
-    # has company on one side only reach over that side's half, and the rest of the stretch need not be sorted
+    # neighbouring windows of a stretch share a core around the key; only those whose core stands in another document too
+    # need be sorted
     beside = width - gram
-    side = beside // 2
-    hashes, off, size = Prefix.of_bytes(body), marks["off"].astype(np.int64), np.diff(at)
-    company = []
-    for has, a in ((off >= side, at[:-1] + off - side), (size - off >= side, at[:-1] + off)):
-        able = np.flatnonzero(has)
-        value = mixed(hashes(a[able], a[able] + side) + mixed(marks["key"][able].astype(np.uint64)))
-        _, back, count = np.unique(value, return_inverse=True, return_counts=True)
-        known = np.zeros(len(marks), bool)
-        known[able[count[back] > 1]] = True
-        company.append(known)
-    left, right = company
-    many = marks["many"].astype(np.int64)
-    skip = np.where(right & ~left, np.maximum(off - (beside - side - 1), 0), 0)  # windows with too much on the left
-    last = np.where(left & ~right, np.minimum(many, off - side), many)  # and with too little
-    order = np.flatnonzero((left | right) & (last > skip))
+    off, many, docs = marks["off"].astype(np.int64), marks["many"].astype(np.int64), marks["doc"]
+    hashes, place = Prefix.of_bytes(body), at[:-1] + off
+    skip, last = many.copy(), np.zeros(len(marks), np.int64)
+    for l in range(0, beside + 1, STEP):  # windows with l to r bytes before the key
+        r = min(l + STEP - 1, beside)
+        able = np.flatnonzero((off >= l) & (off - many < r))
+        core = mixed(hashes(place[able] - l, place[able] + beside - r) + mixed(marks["key"][able].astype(np.uint64)))
+        by = np.argsort(core, kind="stable")
+        if not len(by):
+            continue
+        head = np.flatnonzero(np.concatenate([[True], core[by[1:]] != core[by[:-1]]]))
+        own = docs[able[by]]
+        shared = np.minimum.reduceat(own, head) < np.maximum.reduceat(own, head)
+        met = able[by[np.repeat(shared, np.diff(np.append(head, len(by))))]]
+        skip[met] = np.minimum(skip[met], np.maximum(off[met] - r, 0))
+        last[met] = np.maximum(last[met], np.minimum(off[met] - l + 1, many[met]))
+    order = np.flatnonzero(last > skip)
     order = order[np.lexsort((marks["place"][order], marks["doc"][order], marks["key"][order]))]
     if not len(order):
         return pa.table(rows(done, ("kind", "bucket", "blob")))
