@@ -36,7 +36,7 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """df as a table in the shared folder, read back: lineage ends there and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
+    out = df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
     (out.partitionBy(partition_by) if partition_by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Names, kept, mixed, partitions, piece_keys, settled, slices, with_heavy, words
-from .components import components
+from .common import Names, mixed, partitions, piece_keys, settled, slices, with_heavy, words
+from .components import components, forest
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -83,20 +83,6 @@ def _masks(max_bits: int, segments: int) -> np.ndarray:
     return np.array([[sum(own[(i + j) % segments] for j in range(n + 1)) for n in range(segments)] for i in range(segments)], np.uint64)
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index linked to each of n indexes."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _close(prints: np.ndarray, start: np.ndarray, key: np.ndarray, max_bits: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
     """Linked index pairs among rows sorted by key, found in the buckets of equal keys."""
     masks, (_, equal) = _masks(max_bits, segments), ring(max_bits, segments)
@@ -157,7 +143,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], max_bits: int, segments: in
             found.append((lo + x, lo + y))
         a, b = (np.concatenate(z) for z in zip(*found))
         # within a bucket the same fingerprint pair links once: a forest of each bucket is enough
-        label = _forest(len(key), a, b)
+        label = forest(len(key), a, b)
         rest = np.flatnonzero(label != np.arange(len(key)))
         return pa.record_batch({"a": pa.array(node[rest], pa.int64()), "b": pa.array(node[label[rest]], pa.int64())})
 
@@ -456,9 +442,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pairs
 
     def checked(near: DataFrame) -> DataFrame:
-        ids = kept(near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct())
-        side = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
-        drawn = kept(rows.join(side, "id", "left_semi").mapInArrow(draw, "id long, sketch binary").distinct())
+        ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
+        side = F.broadcast(ids) if 2 * near.count() <= MOST_BROADCAST else ids
+        drawn = settled(rows.join(side, "id", "left_semi").mapInArrow(draw, "id long, sketch binary").distinct())
         return settled(ends(near, drawn, "id", ("x",), ("y",)).select("a", "b", "x", "y").mapInArrow(alike, "a long, b long").distinct())
 
     def placed(comp: DataFrame | None) -> DataFrame:
@@ -470,18 +456,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marks = nodes.select("node", "size", "parity")
     for _ in range(ROUNDS):
         near = dealt(placed(comp)).mapInArrow(lambda x: _next(x, similarity), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n"))
-        near = kept(near if tried is None else near.join(tried, ["a", "b"], "left_anti"))
+        near = settled(near if tried is None else near.join(tried, ["a", "b"], "left_anti"))
         best = [near.groupBy(own).agg(F.max(F.struct("n", other)).alias("m")).select(own, f"m.{other}").select("a", "b") for own, other in (("a", "b"), ("b", "a"))]
-        chosen = kept(best[0].union(best[1]).distinct())
-        found = checked(kept(ends(chosen, marks, "node", ("m", "x"), ("n", "y")).select("a", "b", "m", "x", "n", "y").mapInArrow(close, "a long, b long")))
+        chosen = settled(best[0].union(best[1]).distinct())
+        found = checked(settled(ends(chosen, marks, "node", ("m", "x"), ("n", "y")).select("a", "b", "m", "x", "n", "y").mapInArrow(close, "a long, b long")))
         if found.isEmpty():
             break
         tried = chosen if tried is None else tried.union(chosen)
         links = found if links is None else links.union(found)
-        comp = settled(components(links))
-    several = kept(dealt(placed(comp)).mapInArrow(_mixed, "node long, key long, size int, component long"))
+        comp = components(links)
+    several = dealt(placed(comp)).mapInArrow(_mixed, "node long, key long, size int, component long")
     with_parity = several.join(nodes.select("node", "parity"), "node").select("node", "key", "size", "component", "parity")
-    rest = kept(dealt(with_parity).mapInArrow(lambda x: _across(x, similarity), "a long, b long").distinct())
+    rest = settled(dealt(with_parity).mapInArrow(lambda x: _across(x, similarity), "a long, b long").distinct())
     if not rest.isEmpty():
         found = checked(rest)
         comp = components(found if links is None else links.union(found))

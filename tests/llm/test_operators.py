@@ -628,7 +628,9 @@ def test_simhash_of_nothing_and_bad_segments(spark):
         simhash.ring(4, 4)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [1000, 0])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr("orrery.llm.components.ONE_TASK", one_task)
     links = [(i, i + 1) for i in range(60)] + [(100, 5), (200, 201), (201, 200), (7, 7), (None, 3), (300, 301)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 100: 0, 201: 200, 301: 300}
