@@ -328,8 +328,9 @@ def _distances(parities: list[bytes]):
         shape = sizes[i] << 32 | sizes[j]
         for kind in np.unique(shape).tolist():
             here = np.flatnonzero(shape == kind)
-            for lo in range(0, len(here), 4096):
-                mine = here[lo : lo + 4096]
+            many = max(1, (1 << 18) // (kind & 0xFFFFFFFF))
+            for lo in range(0, len(here), many):
+                mine = here[lo : lo + many]
                 x, y = (flat[at[k[mine]][:, None] + np.arange(n)] for k, n in ((i, kind >> 32), (j, kind & 0xFFFFFFFF)))
                 while x.shape[1] > y.shape[1]:
                     x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
