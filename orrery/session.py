@@ -9,12 +9,17 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Of rows that go to Python at once: texts may be long, and a batch is held twice for a moment.
+BATCH_BYTES = 8 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SHIPPED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the session's executors, once a context."""
+    """Send this package to the session's executors, once a context, and bound the session's Arrow batches."""
     context = spark.sparkContext
+    if spark.conf.get(_BYTES) == f"{64 << 20}b":  # Spark's default
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
     if context not in _SHIPPED:
         root = Path(__file__).resolve().parent
         folder = tempfile.mkdtemp(prefix="orrery-")
