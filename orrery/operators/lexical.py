@@ -1,11 +1,12 @@
 """Keyword retrieval: BM25 over text and cosine over sparse term weights.
 
 Statistics are those of the whole collection (all namespaces, unfiltered): documents with a token, their mean length, and in
-how many each query token stands. They are one row, so they join by broadcast whatever the collection's size.
+how many each query token stands. They are one row, read before the plan is made, so that scores are plain expressions.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,9 +18,11 @@ from ..functions import vectors as V
 KEY = ("namespace", "id")
 
 
-def tokenized(records: DataFrame) -> DataFrame:
-    """(namespace, id, tokens, length) of records with at least one token."""
-    out = records.where("text is not null and text <> ''").select(*KEY, T.tokens(F.col("text")).alias("tokens"))
+def tokenized(records: DataFrame, *more: str) -> DataFrame:
+    """(namespace, id, *more, tokens, length) of records with at least one token. Tokens come out of a generator, below which
+    no later predicate or projection is moved: a text is cut once."""
+    held = records.where("text is not null and text <> ''")
+    out = held.select(*KEY, *more, F.explode(F.array(T.tokens(F.col("text")))).alias("tokens"))
     return out.withColumn("length", F.size("tokens")).where("length > 0")
 
 
@@ -34,34 +37,67 @@ def statistics(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").cast("double").alias("documents"), F.avg("length").alias("mean_length"))
 
 
-def bm25(records: DataFrame, query: str, everything: DataFrame | None = None) -> DataFrame:
-    """(namespace, id, score) of the records that hold a query token; statistics from `everything` if given.
+@dataclass(frozen=True)
+class Corpus:
+    """What BM25 needs to know of a whole collection for one query."""
 
-    One scan counts the query's tokens in each record; there is no posting per token.
-    """
+    documents: float
+    mean_length: float
+    frequency: dict[str, float]
+
+    @property
+    def tokens(self) -> list[str]:
+        """The query's tokens that any document holds."""
+        return [t for t, n in self.frequency.items() if n]
+
+    def term(self, tf: Column, length: Column, token: str) -> Column:
+        return T.bm25_term(tf.cast("double"), length, F.lit(self.mean_length), T.idf(F.lit(self.documents), F.lit(self.frequency[token])))
+
+    def score(self, tokens: Column, length: Column) -> Column:
+        count = lambda token: F.size(F.filter(tokens, lambda x: x == token))
+        counts = {t: count(t) for t in self.tokens}
+        return reduce(lambda a, b: a + b, [F.when(n > 0, self.term(n, length, t)).otherwise(0.0) for t, n in counts.items()], F.lit(0.0))
+
+
+def corpus(records: DataFrame, query: str) -> Corpus:
+    """Statistics for a query by one pass over all texts."""
     wanted = T.query_tokens(query)
-    docs = tokenized(records)
-    if not wanted:
-        return docs.select(*KEY, F.lit(0.0).alias("score")).limit(0)
-    whole = tokenized(records if everything is None else everything)
-    count = lambda token: F.size(F.filter("tokens", lambda x: x == token))
-    stats = whole.agg(F.count("*").cast("double").alias("documents"), F.avg("length").alias("mean_length"), *[F.sum(F.when(F.array_contains("tokens", t), 1.0).otherwise(0.0)).alias(f"df{i}") for i, t in enumerate(wanted)])
-    held = docs.select(*KEY, "length", *[count(t).cast("double").alias(f"tf{i}") for i, t in enumerate(wanted)])
-    held = held.where(reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(wanted))]))
-    scored = held.crossJoin(F.broadcast(stats))  # one row
-    terms = [T.bm25_term(F.col(f"tf{i}"), F.col("length"), F.col("mean_length"), T.idf(F.col("documents"), F.col(f"df{i}"))) for i in range(len(wanted))]
-    return scored.select(*KEY, reduce(lambda a, b: a + b, terms).alias("score"))
-
-
-def bm25_from_postings(index: DataFrame, query: str) -> DataFrame:
-    """The same from a stored inverted index: only the query tokens' postings are read."""
+    holds = [F.count_if(F.array_contains("tokens", t)).cast("double").alias(f"df{i}") for i, t in enumerate(wanted)]
+    row = tokenized(records).agg(F.count("*").cast("double").alias("documents"), F.avg("length").alias("mean_length"), *holds).first()
+    return Corpus(row["documents"], row["mean_length"] or 1.0, {t: row[f"df{i}"] for i, t in enumerate(wanted)})
+
+
+def corpus_of_postings(index: DataFrame, query: str, totals: DataFrame | None = None) -> Corpus:
+    """Statistics from a stored inverted index; `totals` is its stored row of `statistics`, else worked out."""
     wanted = T.query_tokens(query)
-    docs = index.select(*KEY, "length").distinct()
-    hits = index.where(F.col("token").isin(wanted) if wanted else F.lit(False))
-    frequency = hits.groupBy("token").agg(F.count("*").cast("double").alias("df"))
-    joined = hits.join(F.broadcast(frequency), "token").crossJoin(F.broadcast(statistics(docs)))  # the query's tokens, and one row
-    term = T.bm25_term(F.col("tf").cast("double"), F.col("length"), F.col("mean_length"), T.idf(F.col("documents"), F.col("df")))
-    return joined.groupBy(*KEY).agg(F.sum(term).alias("score"))
+    row = (statistics(index.select(*KEY, "length").distinct()) if totals is None else totals).first()
+    found = index.where(F.col("token").isin(wanted) if wanted else F.lit(False)).groupBy("token").agg(F.count("*").cast("double").alias("df"))
+    known = {r["token"]: r["df"] for r in found.collect()}  # the query's tokens
+    return Corpus(row["documents"], row["mean_length"] or 1.0, {t: known.get(t, 0.0) for t in wanted})
+
+
+def bm25(records: DataFrame, query: str, everything: DataFrame | None = None, known: Corpus | None = None) -> DataFrame:
+    """(namespace, id, score) of the records that hold a query token; statistics from `everything` if given, or known.
+
+    One scan; texts without any of the tokens as a substring are not cut.
+    """
+    known = known or corpus(records if everything is None else everything, query)
+    if not known.tokens:
+        return records.select(*KEY, F.lit(0.0).alias("score")).limit(0)
+    low = F.lower("text")
+    near = records.where(reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in known.tokens]))
+    held = tokenized(near).where(F.arrays_overlap("tokens", F.array(*map(F.lit, known.tokens))))
+    return held.select(*KEY, known.score(F.col("tokens"), F.col("length")).alias("score"))
+
+
+def bm25_from_postings(index: DataFrame, query: str, allowed: DataFrame | None = None, known: Corpus | None = None) -> DataFrame:
+    """The same from a stored inverted index: only the query tokens' postings are read, and of these the allowed keys'."""
+    known = known or corpus_of_postings(index, query)
+    hits = index.where(F.col("token").isin(known.tokens) if known.tokens else F.lit(False))
+    if allowed is not None:
+        hits = hits.join(allowed.select(*KEY), list(KEY), "left_semi")
+    cases = [F.when(F.col("token") == t, known.term(F.col("tf"), F.col("length"), t)) for t in known.tokens]
+    return hits.groupBy(*KEY).agg(F.sum(F.coalesce(*cases) if cases else F.lit(0.0)).alias("score"))
 
 
 def sparse(records: DataFrame, query: dict[str, float]) -> DataFrame:

@@ -124,16 +124,9 @@ class Memory:
         self.store.delete(self.collection, id, user)
 
     def prune(self, user: str | None = None) -> int:
-        """Deletes expired memories; a bounded page at a time."""
-        gone, now = 0, int(self.clock())
-        while True:
-            rows = self.store.records(self.collection).where(F.col("metadata")["expires_at"]["d"] <= now)
-            page = (rows if user is None else rows.where(F.col("namespace") == user)).select("namespace", "id").limit(M.MAX_PAGE).collect()
-            if not page:
-                return gone
-            for r in page:
-                self.store.delete(self.collection, r["id"], r["namespace"])
-            gone += len(page)
+        """Deletes expired memories, all in one batch of the log, and tells how many."""
+        rows = self.store.records(self.collection).where(F.col("metadata")["expires_at"]["d"] <= int(self.clock()))
+        return self.store.delete_keys(self.collection, rows if user is None else rows.where(F.col("namespace") == user))
 
     def tools(self) -> dict[str, Callable]:
         return {"remember": self.remember, "recall": self.recall, "forget": self.forget, "prune": self.prune}

@@ -4,18 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model as M
 from ..functions import routing
+from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import filters, graph, lexical, quantized, shape
 
 RESULT = ("id", "namespace", "score", "metadata", "payload")
 
 
+def batch_scores(batch: pa.RecordBatch, queries: np.ndarray, metric: str, k: int) -> pa.RecordBatch:
+    """(query, namespace, id, score) of a batch's rows that may be among the k best of a query: one matrix product tells
+    which, and these are then scored row by row, so that equal vectors have equal scores wherever they lie."""
+    x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+    own, theirs = (x * x).sum(1), (queries * queries).sum(1)
+
+    def scores(product, i, j):
+        if metric == "dot":
+            return product
+        if metric == "l2":
+            return 2 * product - own[i] - theirs[j]
+        norms = own[i] * theirs[j]
+        return np.divide(product, np.sqrt(norms), out=np.zeros_like(product), where=norms > 0)
+
+    rough = scores(x @ queries.T, np.arange(len(x))[:, None], np.arange(len(queries))[None, :])
+    if len(x) > k:
+        bar = np.partition(rough, len(x) - k, axis=0)[len(x) - k]
+        i, j = np.nonzero(rough >= bar - 1e-9 * (1 + np.abs(bar) + own.max() + theirs))
+    else:
+        i, j = (a.ravel() for a in np.indices(rough.shape))
+    sharp = -((x[i] - queries[j]) ** 2).sum(1) if metric == "l2" else scores((x[i] * queries[j]).sum(1), i, j)
+    at = pa.array(i)
+    return pa.record_batch({"query": pa.array(j, pa.int32()), "namespace": batch.column("namespace").take(at), "id": batch.column("id").take(at), "score": pa.array(sharp)})
+
+
 def best_first() -> list[Column]:
     return [F.desc("score"), F.asc("namespace"), F.asc("id")]
 
@@ -35,13 +64,15 @@ class Rerank:
 
 @dataclass
 class Collection:
-    """A collection's live records with its configuration; a stored graph or codebook may come along."""
+    """A collection's live records with its configuration; a stored graph, codebook or inverted index may come along."""
 
     config: M.CollectionConfig
     records: DataFrame
     fields: object = None
     graph_index: DataFrame | None = None
     codebook: quantized.Codebook | None = None
+    postings: DataFrame | None = None
+    text_totals: DataFrame | None = None
     rerank_applied: bool = field(default=False, init=False)
 
     # ---- first stage
@@ -98,8 +129,7 @@ class Collection:
             raise M.InvalidArgument("hybrid search needs sparse_vector or text")
         if fusion not in ("", "weighted", "rrf"):
             raise M.InvalidArgument(f"unknown fusion {fusion!r}")
-        alpha = 0.5 if alpha is None else alpha
-        M.between("alpha", alpha, 0, 1)
+        M.between("alpha", 0.5 if alpha is None else alpha, 0, 1)
         if k <= 0:
             raise M.InvalidArgument("top_k must be positive")
         reach, rows = max(4 * k, 100), self._allowed(namespace, filter)
@@ -109,37 +139,51 @@ class Collection:
             lists["dense"] = self._scored(rows, "vector", self.config.metric, q).select("namespace", "id", "score")
         if sparse_vector is not None:
             lists["sparse"] = lexical.sparse(rows, M.check_sparse(sparse_vector))
+        known = None
         if text:
-            lists["text"] = lexical.bm25(rows, M.check_text(text), self.records)
+            if self.postings is not None:
+                known = lexical.corpus_of_postings(self.postings, M.check_text(text), self.text_totals)
+                asked = self.postings.where(F.col("namespace") == namespace)
+                lists["text"] = lexical.bm25_from_postings(asked, text, rows if filter else None, known)
+            else:
+                known = lexical.corpus(self.records, M.check_text(text))
+                lists["text"] = lexical.bm25(rows, text, known=known)
         tops = {n: s.orderBy(*best_first()).limit(reach) for n, s in lists.items()}
         if fusion == "rrf":
             order = Window.orderBy(*best_first())
             ranks = [t.withColumn("rank", F.row_number().over(order)).select("namespace", "id", (1.0 / (M.RRF_CONSTANT + F.col("rank"))).alias("part")) for t in tops.values()]
-            whole = ranks[0]
-            for r in ranks[1:]:
-                whole = whole.unionByName(r)
-            fused = whole.groupBy("namespace", "id").agg(F.sum("part").alias("score"))
+            fused = reduce(DataFrame.unionByName, ranks).groupBy("namespace", "id").agg(F.sum("part").alias("score"))
+        elif len(lists) == 1:
+            fused = next(iter(lists.values()))
         else:
-            keys = None
-            for t in tops.values():
-                keys = t.select("namespace", "id") if keys is None else keys.unionByName(t.select("namespace", "id"))
-            fused = keys.distinct()  # three lists at most
-            for n, s in lists.items():
-                fused = fused.join(s.withColumnRenamed("score", n), ["namespace", "id"], "left")
-            cell = lambda n: F.coalesce(F.col(n), F.lit(0.0))
-            words = [n for n in ("sparse", "text") if n in lists]
-            if len(words) == 1 and vector is None:
-                score = cell(words[0])
-            else:
-                parts = [(cell("sparse") + 1) / 2 if n == "sparse" else V.bm25_saturated(cell("text")) for n in words]
-                score = sum(parts[1:], parts[0]) / len(parts)
-                if vector is not None:
-                    near = F.when(F.col("dense").isNull(), 0.0).otherwise(V.normalized_score(self.config.metric, F.col("dense")))
-                    score = alpha * near + (1 - alpha) * score
-            fused = fused.select("namespace", "id", score.alias("score"))
+            keys = reduce(DataFrame.unionByName, [t.select("namespace", "id") for t in tops.values()]).distinct()
+            near = rows.join(F.broadcast(keys), ["namespace", "id"])  # at most `reach` keys of each list
+            fused = self._mixed(near, lists, keys, known, vector, sparse_vector, 0.5 if alpha is None else alpha)
         top = fused.orderBy(*best_first()).limit(k)
         return rows.select("namespace", "id", "metadata", "payload").join(F.broadcast(top), ["namespace", "id"]).select(*RESULT).orderBy(*best_first())  # k rows
 
+    def _mixed(self, near: DataFrame, lists: Mapping, keys: DataFrame, known: lexical.Corpus | None, vector, sparse_vector, alpha: float) -> DataFrame:
+        """(namespace, id, score) of the candidates: their scores under all signals, weighted."""
+        parts = []
+        if "sparse" in lists:
+            weights = M.check_sparse(sparse_vector)
+            parts.append((F.coalesce(V.sparse_cosine(F.col("sparse_vector"), weights), F.lit(0.0)) + 1) / 2)
+        if "text" in lists:
+            if self.postings is not None:
+                found = lists["text"].join(F.broadcast(keys), ["namespace", "id"], "left_semi").withColumnRenamed("score", "_text")
+                near = near.join(F.broadcast(found), ["namespace", "id"], "left")
+                own = F.coalesce("_text", F.lit(0.0))
+            else:
+                near = near.withColumn("_tokens", F.explode(F.array(F.coalesce(T.tokens(F.col("text")), F.array().cast("array<string>")))))
+                own = known.score(F.col("_tokens"), F.size("_tokens"))
+            parts.append(V.bm25_saturated(own))
+        score = sum(parts[1:], parts[0]) / len(parts)
+        if vector is not None:
+            q = M.check_vector(vector, self.config.dimension)
+            dense = V.normalized_score(self.config.metric, V.to_query(self.config.metric, F.col("vector"), q))
+            score = alpha * F.when(F.col("vector").isNull(), 0.0).otherwise(dense) + (1 - alpha) * score
+        return near.select("namespace", "id", score.alias("score"))
+
     # ---- the whole request
 
     def search(self, vector=None, *, top_k: int, sparse_vector=None, text: str = "", alpha: float | None = None, fusion: str = "weighted", ef_search: int = 0, namespace: str = "", filter: Mapping | None = None, offset: int = 0, group_by: str | None = None, group_size: int | None = None, using: str | None = None, multi_vector=None, candidates: int = 0, rerank: Rerank | None = None) -> DataFrame:
@@ -201,9 +245,15 @@ class Collection:
         if not 1 <= len(queries) <= M.MAX_BATCH_QUERIES:
             raise M.InvalidArgument(f"a batch holds 1 to {M.MAX_BATCH_QUERIES} queries")
         asked = [M.check_vector(q, self.config.dimension) for q in queries]
-        rows = self._allowed(namespace, filter)
-        each = F.explode(F.array(*[F.struct(F.lit(i).alias("query"), V.to_query(self.config.metric, F.col("vector"), q).alias("score")) for i, q in enumerate(asked)]))
-        scored = rows.select("id", "namespace", each.alias("s")).select("s.query", "id", "namespace", "s.score")
+        rows = self._allowed(namespace, filter).where(F.col("vector").isNotNull()).select("namespace", "id", "vector")
+        metric, many = self.config.metric, np.array(asked, np.float64)
+
+        def score(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    yield batch_scores(batch, many, metric, top_k)
+
+        scored = rows.mapInArrow(score, "query int, namespace string, id string, score double")
         order = Window.partitionBy("query").orderBy(*best_first())
         return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query", "rank", "id", "namespace", "score")
 
@@ -219,6 +269,10 @@ class Collection:
         """A page of records in key order after a key; an empty namespace means all. Only the default vector is left out.
         A shard number keeps the keys of one logical shard."""
         M.between("limit", limit, 1, M.MAX_PAGE)
+        return self.page(limit, namespace, after, include_vector, shard)
+
+    def page(self, limit: int, namespace: str = "", after: tuple[str, str] | None = None, include_vector: bool = False, shard: int | None = None) -> DataFrame:
+        """The same without a bound, for a caller that asks for one more to see whether any follow."""
         rows = self.records if not namespace else self.records.where(F.col("namespace") == namespace)
         if after is not None:
             ns, key = after

@@ -1,8 +1,10 @@
 """Collections on disk: a catalogue, a change log per collection and versioned checkpoints.
 
-Everything lies under one root that all executors share. A batch is one write job of log rows, validated before; a
-checkpoint writes the live records to a new folder and then moves the pointer file. The live view is the base with the log's
-later rows on top, the last writer of a key winning.
+Everything lies under one root that all executors share. A collection's state is a series of numbered manifests: a change
+writes its files first and then publishes the next number, which only one writer can; a crash before that leaves the last
+state, and the loser of a race is told of a conflict. A batch is one write job of log rows, validated before; a checkpoint
+writes the live records to a new folder. Old files stay for open readers until `clean`. The live view is the base with the
+log's later rows on top, the last writer of a key winning.
 """
 
 from __future__ import annotations
@@ -16,15 +18,18 @@ import time
 import uuid
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import model as M
+from ..operators import lexical
 from ..operators.filters import metadata_of
 from ..plans.planner import Collection
 from . import imports
 
+LEDGER_PAGE = 1000  # idempotency keys in a manifest before they get a file of their own
 KEY_NAME = re.compile(r"[A-Za-z0-9._:-]{1,128}")
 
 
@@ -61,9 +66,10 @@ class Files:
     """Small files beside the tables, through the file system that Spark uses for the root."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.jvm, self.root = spark._jvm, root.rstrip("/")
+        self.jvm, self.gateway, self.root = spark._jvm, spark.sparkContext._gateway, root.rstrip("/")
         path = self.jvm.org.apache.hadoop.fs.Path(self.root)
-        self.fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.conf = spark._jsc.hadoopConfiguration()
+        self.fs = path.getFileSystem(self.conf)
 
     def path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -81,14 +87,20 @@ class Files:
             stream.close()
 
     def write(self, name: str, text: str) -> None:
-        """Whole or not at all: to a new name, then moved."""
-        temporary = self.path(f"{name}.{uuid.uuid4().hex}")
-        stream = self.fs.create(temporary, True)
+        """Whole or not at all, and never over another file: written aside, then moved to a name that must be free."""
+        temporary, final = self.path(f"{name.rpartition('/')[0]}/.{uuid.uuid4().hex}"), self.path(name)
+        stream = self.fs.create(temporary, False)
         stream.write(bytearray(text.encode()))
         stream.close()
-        self.fs.delete(self.path(name), False)
-        if not self.fs.rename(temporary, self.path(name)):
-            raise M.Conflict(name)
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.conf)
+        try:
+            none = self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)  # no overwriting
+            context.rename(temporary, final, none)
+        except Exception as e:
+            self.fs.delete(temporary, False)
+            if self.exists(name):
+                raise M.Conflict(name) from e
+            raise
 
     def remove(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
@@ -130,19 +142,28 @@ class Store:
 
     # ---- writes
 
-    def _state(self, name: str) -> dict:
-        text = self.files.read(f"{name}/pointer.json")
-        if text is None:
+    def _manifests(self, name: str) -> list[str]:
+        return [n for n in self.files.names(f"{name}/manifests") if not n.startswith(".")]
+
+    def _state(self, name: str, number: int | None = None) -> dict:
+        """The last state, or that of a number; `number` in it tells which it is."""
+        known = self._manifests(name)
+        if number is not None:
+            known = [n for n in known if n == f"{number:012d}.json"]
+        if not known:
             raise M.NotFound(name)
-        return json.loads(text)
+        return json.loads(self.files.read(f"{name}/manifests/{known[-1]}"))
 
     def _point(self, name: str, state: dict) -> None:
-        self.files.write(f"{name}/pointer.json", json.dumps(state))
+        """Publish the state after the one that it was made from; a conflict if another writer did."""
+        state["number"] = state.get("number", -1) + 1
+        self.files.write(f"{name}/manifests/{state['number']:012d}.json", json.dumps(state))
 
     def _log_schema(self, config: M.CollectionConfig) -> T.StructType:
         return T.StructType([T.StructField("lsn", T.LongType()), T.StructField("op", T.StringType()), *[T.StructField(f.name, f.dataType, True) for f in config.record_schema()]])
 
     def _append(self, name: str, rows: DataFrame, count: int, state: dict) -> None:
+        """One batch: its rows, then the manifest that names it (and whatever else is new in the state)."""
         batch = uuid.uuid4().hex
         rows.write.parquet(f"{self.root}/{name}/log/{batch}")
         state["batches"].append([batch, state["lsn"] + 1, state["lsn"] + count])
@@ -176,9 +197,7 @@ class Store:
         if idempotency_key is not None:
             if not KEY_NAME.fullmatch(idempotency_key):
                 raise M.InvalidArgument("bad idempotency key")
-            ledger = self.files.read(f"{name}/ledger/{idempotency_key}.json")
-            if ledger is not None:
-                before = json.loads(ledger)
+            if before := self._ledger(name, state).get(idempotency_key):
                 if before["digest"] != digest:
                     raise M.Conflict(f"{idempotency_key} was used for another request")
                 return before["result"]
@@ -190,26 +209,49 @@ class Store:
                 column = M.column_of(field, False)
                 frame = frame.withColumn(column, imports.stored_as(F.col(column), spec.datatype))
         result = {"count": len(rows), "version": state["lsn"] + len(rows), "timestamp": now}
+        if idempotency_key is not None:  # published with the batch: both are there or neither
+            state["keys"] = {**state.get("keys", {}), idempotency_key: {"digest": digest, "result": result}}
+            if len(state["keys"]) >= LEDGER_PAGE:
+                page = f"{name}/ledger/{uuid.uuid4().hex}.json"
+                self.files.write(page, json.dumps(state.pop("keys")))
+                state["ledger"] = [*state.get("ledger", []), page]
         self._append(name, frame, len(rows), state)
-        if idempotency_key is not None:
-            self.files.write(f"{name}/ledger/{idempotency_key}.json", json.dumps({"digest": digest, "result": result}))
         return result
 
+    def _ledger(self, name: str, state: dict) -> dict:
+        """Idempotency keys used so far: those of the manifest and of the full pages that it names."""
+        found = dict(state.get("keys", {}))
+        for page in state.get("ledger", []):
+            found |= json.loads(self.files.read(page))
+        return found
+
     def load(self, name: str, records: DataFrame) -> None:
-        """Bulk upsert of a frame of records: validated with one aggregate, then one write job."""
+        """Bulk upsert of a frame of records: validated with one aggregate, then one write job. Every row has a number of its
+        own; a key that two rows hold has no last one in a frame, and is an error."""
         config, state = self.describe(name), self._state(name)
         schema = self._log_schema(config)
+        given = set(records.columns)
+        if "namespace" not in given:
+            records = records.withColumn("namespace", F.lit(""))
         bad = records.where((F.coalesce(F.col("id"), F.lit("")) == "") | F.col("vector").isNull() | (F.size("vector") != config.dimension) | F.exists("vector", lambda x: F.isnan(x) | (F.abs(x) == float("inf"))))
         if not bad.isEmpty():
             raise M.InvalidArgument("records without an id or a sound vector")
-        count = records.count()
-        base, now = state["lsn"], time.time_ns()
-        given = set(records.columns)
-        cells = {"lsn": F.lit(base + count).cast("long"), "op": F.lit("upsert"), "timestamp": F.lit(now), "version": F.lit(base + count).cast("long")}
-        if "namespace" not in given:
-            cells["namespace"] = F.lit("")
-        rows = records.select(*[cells.get(f.name, F.col(f.name) if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
-        self._append(name, rows, count, state)
+        if not records.groupBy("namespace", "id").count().where("count > 1").isEmpty():
+            raise M.InvalidArgument("a key stands in several rows")
+        # numbers without a sort: partition after partition, as the counts of partitions tell
+        numbered = records.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).persist(StorageLevel.DISK_ONLY)
+        try:
+            sizes = {r["_part"]: r["count"] for r in numbered.groupBy("_part").count().collect()}  # a row a partition
+            begin, at = {}, state["lsn"] + 1
+            for part in sorted(sizes):
+                begin[part], at = at, at + sizes[part]
+            lsn = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in begin.items() for x in kv]), F.col("_part")).cast("long") + F.col("_row"), F.lit(0)) if begin else F.lit(0)
+            cells = {"lsn": lsn, "op": F.lit("upsert"), "timestamp": F.lit(time.time_ns()), "version": lsn}
+            names = {*given, "namespace"}
+            rows = numbered.select(*[cells.get(f.name, F.col(f.name) if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+            self._append(name, rows, at - state["lsn"] - 1, state)
+        finally:
+            numbered.unpersist()
 
     def delete(self, name: str, id: str, namespace: str = "") -> None:
         config, state = self.describe(name), self._state(name)
@@ -219,22 +261,35 @@ class Store:
         schema = self._log_schema(config)
         self._append(name, self.spark.createDataFrame([tuple(cells.get(f.name) for f in schema)], schema), 1, state)
 
+    def delete_keys(self, name: str, keys: DataFrame) -> int:
+        """Deletes all keys (namespace, id) of a frame in one batch; how many there are."""
+        config, state = self.describe(name), self._state(name)
+        lsn, cells = state["lsn"] + 1, {}
+        rows = keys.select("namespace", "id").distinct().persist(StorageLevel.DISK_ONLY)
+        try:
+            if count := rows.count():
+                cells = {"lsn": F.lit(lsn), "op": F.lit("delete"), "namespace": F.col("namespace"), "id": F.col("id"), "timestamp": F.lit(time.time_ns()), "version": F.lit(lsn)}
+                self._append(name, rows.select(*[cells.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in self._log_schema(config)]), 1, state)
+        finally:
+            rows.unpersist()
+        return count
+
     # ---- reads
 
-    def log(self, name: str, after: int = 0) -> DataFrame:
+    def log(self, name: str, after: int = 0, state: dict | None = None) -> DataFrame:
         """The change log's rows with lsn > after."""
-        config, state = self.describe(name), self._state(name)
+        config, state = self.describe(name), state or self._state(name)
         paths = [f"{self.root}/{name}/log/{b}" for b, _, last in state["batches"] if last > after]
         schema = self._log_schema(config)
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths).where(F.col("lsn") > after)
 
-    def records(self, name: str) -> DataFrame:
+    def records(self, name: str, state: dict | None = None) -> DataFrame:
         """The live view: base and later log rows."""
-        config, state = self.describe(name), self._state(name)
+        config, state = self.describe(name), state or self._state(name)
         schema = config.record_schema()
-        delta = self.log(name, state.get("checkpoint", 0))
+        delta = self.log(name, state.get("checkpoint", 0), state)
         columns = schema.names
         if state["base"] is None:
             return resolved(delta).select(*columns)
@@ -245,46 +300,72 @@ class Store:
         latest = delta.withColumn("_n", F.row_number().over(Window.partitionBy("namespace", "id").orderBy(F.desc("lsn")))).where("_n = 1").drop("_n")
         return shadowed(base, latest)
 
-    def open(self, name: str, **more) -> Collection:
-        return Collection(self.describe(name), self.records(name), **more)
+    def open(self, name: str, number: int | None = None, **more) -> Collection:
+        """The collection as it is, or as the manifest of a number has it; with its inverted index if that is up to date."""
+        state = self._state(name, number)
+        index = state.get("text") or {}
+        if index.get("lsn") == state["lsn"] and "postings" not in more:
+            folder = f"{self.root}/{name}/text/{index['version']}"
+            more |= {"postings": self.spark.read.parquet(f"{folder}/postings"), "text_totals": self.spark.read.parquet(f"{folder}/totals")}
+        return Collection(self.describe(name), self.records(name, state), **more)
+
+    def index_text(self, name: str, buckets: int = 64) -> None:
+        """Write the inverted index of the live records and its totals, and publish it. Postings are sorted by token within
+        buckets of tokens, so that a query reads few row groups. Any later write makes the index stale, and unused."""
+        state, version = self._state(name), uuid.uuid4().hex
+        folder = f"{self.root}/{name}/text/{version}"
+        records = self.records(name, state)
+        lexical.postings(records).repartition(buckets, "token").sortWithinPartitions("token").write.parquet(f"{folder}/postings")
+        lexical.statistics(lexical.tokenized(records)).write.parquet(f"{folder}/totals")
+        self._point(name, state | {"text": {"version": version, "lsn": state["lsn"]}})
 
     def scroll(self, name: str, limit: int = M.DEFAULT_PAGE, namespace: str = "", cursor: str = "", include_vector: bool = False) -> tuple[list, str]:
         """(rows, next cursor or '')."""
         after = decode_cursor(cursor) if cursor else None
         view = self.open(name)
         M.between("limit", limit, 1, M.MAX_PAGE)
-        rows = view.scroll(min(limit + 1, M.MAX_PAGE), namespace, after, include_vector).collect()
-        more = len(rows) > limit or (limit == M.MAX_PAGE and len(rows) == limit)
+        rows = view.page(limit + 1, namespace, after, include_vector).collect()
+        more = len(rows) > limit
         rows = rows[:limit]
         return rows, encode_cursor(rows[-1]["namespace"], rows[-1]["id"]) if more and rows else ""
 
     # ---- maintenance
 
     def checkpoint(self, name: str) -> str:
-        """Write the live records as a new base and move the pointer; a crash before that leaves the old state."""
+        """Write the live records as a new base and publish it; a crash before that leaves the old state. Files that are no
+        longer named stay for open readers and snapshots until `clean`."""
         state, version = self._state(name), uuid.uuid4().hex
-        self.records(name).repartition("namespace", "id").sortWithinPartitions("namespace", "id").write.parquet(f"{self.root}/{name}/base/{version}")
-        old = state["batches"]
-        state |= {"base": version, "checkpoint": state["lsn"], "versions": state["versions"] + 1, "batches": []}
-        self._point(name, state)
-        for batch, _, _ in old:
-            self.files.remove(f"{name}/log/{batch}")
+        self.records(name, state).repartition("namespace", "id").sortWithinPartitions("namespace", "id").write.parquet(f"{self.root}/{name}/base/{version}")
+        self._point(name, state | {"base": version, "checkpoint": state["lsn"], "versions": state["versions"] + 1, "batches": []})
         return version
 
     def clean(self, name: str) -> list[str]:
-        """Remove bases and batches that the pointer does not name."""
-        state, gone = self._state(name), []
-        named = {("base", state["base"]), *(("log", b) for b, _, _ in state["batches"])}
-        for folder in ("base", "log"):
+        """Remove bases, batches and indexes that neither the last manifest nor a snapshot names, and manifests before."""
+        known = [self._state(name, int(n.split(".")[0])) for n in self._manifests(name)]
+        pinned = known[-1].get("pins", [])
+        live, gone = [s for s in known if s["number"] in pinned or s is known[-1]], []
+        named = {("base", s["base"]) for s in live} | {("log", b) for s in live for b, _, _ in s["batches"]} | {("text", s["text"]["version"]) for s in live if s.get("text")}
+        for s in known:
+            if s not in live:
+                self.files.remove(f"{name}/manifests/{s['number']:012d}.json")
+        for folder in ("base", "log", "text"):
             for n in self.files.names(f"{name}/{folder}"):
                 if (folder, n) not in named:
                     self.files.remove(f"{name}/{folder}/{n}")
                     gone.append(f"{folder}/{n}")
         return gone
 
-    def snapshot(self, name: str) -> Collection:
-        """A view that later writes and checkpoints of this store do not change while its files stand."""
-        return self.open(name)
+    def snapshot(self, name: str) -> int:
+        """Keep the present state: the number that `open` takes, whatever is written, checkpointed or cleaned later."""
+        state = self._state(name)
+        number = state["number"]
+        self._point(name, state | {"pins": sorted({*state.get("pins", []), number})})
+        return number
+
+    def release(self, name: str, number: int) -> None:
+        """Give a snapshot's files back to `clean`."""
+        state = self._state(name)
+        self._point(name, state | {"pins": [n for n in state.get("pins", []) if n != number]})
 
     def backup(self, name: str, target: str) -> dict:
         """The live records and a manifest of their count and hash under a new folder."""

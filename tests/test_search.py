@@ -43,45 +43,106 @@ def test_every_length_matches_numpy(spark):
         assert np.allclose(list(row), [a @ b, -((a - b) ** 2).sum(), a @ b / np.sqrt((a @ a) * (b @ b))])
 
 
+def brute(rows, score, k, keep=lambda r: True):
+    """Ids by score, then namespace and id."""
+    found = [(-score(r), r.get("namespace", ""), r["id"]) for r in rows if keep(r)]
+    return [i for _, _, i in sorted(found)[:k]]
+
+
+def harbour(seed=21, n=60):
+    """Records with tied vectors, two namespaces, metadata, texts and sparse terms."""
+    r = np.random.default_rng(seed)
+    words = "anchor buoy crane dock eel ferry gull hull".split()
+    rows = []
+    for i in range(n):
+        text = " ".join(r.choice(words, size=r.integers(0, 9)))
+        rows.append({"id": f"v{(i * 7) % n:02d}", "namespace": ("", "north")[i % 4 == 3], "vector": [float(x) for x in r.integers(-2, 3, size=3)], "metadata": {"depth": int(r.integers(1, 9)), "flag": str(r.choice(["nl", "pt"]))}, "text": text or None, "sparse_vector": {w: float(r.integers(1, 4)) for w in set(text.split()[:2])} or None})
+    return rows
+
+
+def inner(q):
+    return lambda row: float(np.dot(q, row["vector"]))
+
+
 def test_filtered_and_namespaces(spark):
-    c = collection(spark, M.CollectionConfig("t", 2, "dot", 2), [{"id": "best-wrong", "vector": [10.0, 0.0], "metadata": {"language": "python", "year": 2026}}, {"id": "best", "vector": [8.0, 0.0], "metadata": {"language": "go", "year": 2025}}, {"id": "older", "vector": [7.0, 0.0], "metadata": {"language": "go", "year": 2022}}])
-    assert ids(c.search([1, 0], top_k=5, filter={"language": "go", "year": {"$gte": 2024}})) == ["best"]
-    c = collection(spark, M.CollectionConfig("t", 3), [{"id": "a", "vector": [1.0, 0, 0]}, {"id": "b", "vector": [0.0, 1, 0]}, {"id": "c", "vector": [1.0, 0, 0], "namespace": "other"}])
-    assert ids(c.search([1, 0, 0], top_k=2)) == ["a", "b"]
-    assert ids(c.search([1, 0, 0], top_k=2, namespace="other")) == ["c"]
+    rows = harbour()
+    c = collection(spark, M.CollectionConfig("t", 3, "dot", 2), rows)
+    for q in ([1, 0, 2], [0, -1, 0]):
+        for name in ("", "north", "nowhere"):
+            deep = lambda row, n=name: row["namespace"] == n and row["metadata"]["depth"] >= 5 and row["metadata"]["flag"] == "pt"
+            assert ids(c.search(q, top_k=6, namespace=name)) == brute(rows, inner(q), 6, lambda row, n=name: row["namespace"] == n)
+            assert ids(c.search(q, top_k=6, namespace=name, filter={"flag": "pt", "depth": {"$gte": 5}})) == brute(rows, inner(q), 6, deep)
 
 
 def test_order_ties_and_limits(spark):
-    c = collection(spark, M.CollectionConfig("t", 2, "dot"), [{"id": f"id-{i:03d}", "vector": [float(i), 1.0]} for i in range(100)])
-    assert ids(c.search([1, 0], top_k=7)) == [f"id-{i:03d}" for i in range(99, 92, -1)]
-    assert ids(c.search([0, 1], top_k=3)) == ["id-000", "id-001", "id-002"]
-    for bad in ({"top_k": 0}, {"top_k": 1, "offset": -1}, {"top_k": 10_001}, {"top_k": 1, "group_size": 2}, {"top_k": 1, "ef_search": 10_001}, {"top_k": 1, "multi_vector": [[1, 0]]}, {"top_k": 1, "candidates": 5}, {"top_k": 1, "using": "x", "text": "y"}, {"top_k": 1, "alpha": 2, "text": "x"}, {"top_k": 1, "fusion": "sum", "text": "x"}):
+    rows = harbour(22, 90)
+    c = collection(spark, M.CollectionConfig("t", 3, "dot"), rows)
+    here = lambda row: row["namespace"] == ""
+    for k in (1, 7, 50):
+        assert ids(c.search([0, 1, 0], top_k=k)) == brute(rows, inner([0, 1, 0]), k, here)  # five scores for all rows
+    for bad in ({"top_k": 0}, {"top_k": 1, "offset": -1}, {"top_k": 10_001}, {"top_k": 1, "group_size": 2}, {"top_k": 1, "ef_search": 10_001}, {"top_k": 1, "multi_vector": [[1, 0, 0]]}, {"top_k": 1, "candidates": 5}, {"top_k": 1, "using": "x", "text": "y"}, {"top_k": 1, "alpha": 2, "text": "x"}, {"top_k": 1, "fusion": "sum", "text": "x"}):
         with pytest.raises(M.InvalidArgument):
-            c.search([1, 0], **bad)
+            c.search([1, 0, 0], **bad)
     with pytest.raises(M.DimensionMismatch):
-        c.search([1, 0, 0], top_k=1)
+        c.search([1, 0], top_k=1)
+
+
+def brute_bm25(rows, query, keep=lambda r: True):
+    """(namespace, id) -> score, with statistics of all rows."""
+    docs = {(r["namespace"], r["id"]): r["text"].split() for r in rows if r["text"]}
+    mean = sum(map(len, docs.values())) / len(docs)
+    out = {}
+    for r in filter(keep, rows):
+        own = docs.get((r["namespace"], r["id"]), [])
+        for w in dict.fromkeys(query.split()):
+            df = sum(w in d for d in docs.values())
+            if tf := own.count(w):
+                weight = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5))
+                out[r["namespace"], r["id"]] = out.get((r["namespace"], r["id"]), 0) + weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own) / mean))
+    return out
 
 
 def test_tokens_and_bm25(spark):
-    row = spark.range(1).select(T.tokens(F.lit("The Vector-DB, and HNSW_index v2!"))).first()
-    assert row[0] == ["vector", "db", "hnsw", "index", "v2"]
-    texts = {"common": "database database database storage", "rare": "quantization database", "other": "storage engine database", "none": "unrelated words only"}
-    c = collection(spark, M.CollectionConfig("t", 2), [{"id": k, "vector": [1.0, 0.0], "text": t} for k, t in texts.items()])
-    hits = c.search(text="quantization database", top_k=10).collect()
-    assert hits[0]["id"] == "rare" and {h["id"] for h in hits} == {"rare", "common", "other"} and all(h["score"] > 0 for h in hits)
-    stored = {r["id"]: r["score"] for r in lexical.bm25_from_postings(lexical.postings(c.records), "quantization database database").collect()}
-    assert stored == pytest.approx({h["id"]: h["score"] for h in hits})
-    assert c.search(text="the of", top_k=3).count() == 0
+    assert spark.range(1).select(T.tokens(F.lit("To the Dock-side: 3 cranes_and a GULL!"))).first()[0] == ["dock", "side", "3", "cranes", "gull"]
+    rows = harbour(23)
+    c = collection(spark, M.CollectionConfig("t", 3), rows)
+    stored = Collection(c.config, c.records, postings=lexical.postings(c.records))
+    for query in ("gull", "eel crane eel", "ferry unheard"):
+        for name in ("", "north"):
+            for f, keep in ((None, lambda r: True), ({"depth": {"$lt": 4}}, lambda r: r["metadata"]["depth"] < 4)):
+                want = brute_bm25(rows, query, lambda r, n=name, k=keep: r["namespace"] == n and k(r))
+                for view in (c, stored):  # statistics are those of all rows, whatever is asked for
+                    got = {(h["namespace"], h["id"]): h["score"] for h in view.search(text=query, top_k=60, namespace=name, filter=f).collect()}
+                    assert got == pytest.approx(want)
+    assert c.search(text="the of", top_k=3).count() == 0 and stored.search(text="the of", top_k=3).count() == 0
 
 
 def test_hybrid(spark):
-    c = collection(spark, M.CollectionConfig("t", 2), [{"id": "dense", "vector": [1.0, 0.0], "text": "cooking recipes"}, {"id": "lexical", "vector": [0.0, 1.0], "text": "prodname vector database", "sparse_vector": {"prodname": 1.0}}])
-    ask = lambda a: c.search([1, 0], sparse_vector={"prodname": 1.0}, text="prodname vector", alpha=a, top_k=2).collect()
-    assert ask(0.9)[0]["id"] == "dense" and ask(0.1)[0]["id"] == "lexical"
-    assert all(0 <= r["score"] <= 1 for r in ask(0.5))
-    c = collection(spark, M.CollectionConfig("t", 2), [{"id": "both", "vector": [0.9, 0.1], "text": "hybrid retrieval"}, {"id": "dense-only", "vector": [1.0, 0.0], "text": "unrelated"}, {"id": "text-only", "vector": [0.0, 1.0], "text": "hybrid"}])
-    hits = c.search([1, 0], text="hybrid retrieval", fusion="rrf", top_k=3).collect()
-    assert hits[0]["id"] == "both" and hits[0]["score"] == pytest.approx(1 / 61 + 1 / 62)
+    rows = [r for r in harbour(24) if r["namespace"] == ""]
+    c = collection(spark, M.CollectionConfig("t", 3), rows)
+    q, asked, query = [1, 1, 0], {"buoy": 2.0, "hull": 1.0}, "buoy dock"
+    norm = lambda v: float(np.sqrt(np.dot(v, v)))
+    cosine = lambda r: 0.0 if not norm(r["vector"]) else float(np.dot(q, r["vector"])) / norm(q) / norm(r["vector"])
+
+    def thin(r):
+        own = r["sparse_vector"] or {}
+        return sum(own.get(t, 0) * w for t, w in asked.items()) / max(1e-9, norm(list(own.values())) * norm(list(asked.values())))
+
+    bm25 = brute_bm25(rows, query)
+    saturated = lambda r: (s := bm25.get(("", r["id"]), 0.0)) / (s + 2)
+    lists = (sorted((-cosine(r), r["id"]) for r in rows), sorted((-thin(r), r["id"]) for r in rows if thin(r)), sorted((-s, i) for (_, i), s in bm25.items()))
+    for view in (c, Collection(c.config, c.records, postings=lexical.postings(c.records))):
+        for alpha in (0.0, 0.3, 1.0):
+            mixed = lambda r, a=alpha: a * (cosine(r) + 1) / 2 + (1 - a) * (((thin(r) + 1) / 2 if thin(r) else 0.5) + saturated(r)) / 2
+            got = [(h["id"], h["score"]) for h in view.search(q, sparse_vector=asked, text=query, alpha=alpha, top_k=8).collect()]
+            assert [s for _, s in got] == pytest.approx(sorted(map(mixed, rows), reverse=True)[:8])
+            assert all(s == pytest.approx(mixed(next(r for r in rows if r["id"] == i))) for i, s in got)
+        ranks = {}
+        for found in lists:
+            for place, (_, i) in enumerate(found):
+                ranks[i] = ranks.get(i, 0) + 1 / (61 + place)
+        got = {h["id"]: h["score"] for h in view.search(q, sparse_vector=asked, text=query, fusion="rrf", top_k=len(ranks)).collect()}
+        assert got == pytest.approx(ranks, rel=0.08)  # equal scores may differ in the last bits, and so trade places
 
 
 SPEC = {"title": M.VectorField(3, "dot", M.IndexConfig("hnsw"), "float16"), "body": M.VectorField(2, "l2", datatype="bfloat16"), "colbert": M.VectorField(2, "dot", multi_vector=True)}

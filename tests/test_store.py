@@ -52,6 +52,63 @@ def test_batches_are_whole_and_idempotent(store):
     assert live(store) == {"a": [1, 0]}
 
 
+def test_writers_and_crashes(spark, store, monkeypatch):
+    """Two writers from one state: one is told; a crash before the manifest leaves the last state, key and all."""
+    store.upsert("t", [{"id": "a", "vector": [1, 0]}])
+    stale = store._state("t")
+    store.upsert("t", [{"id": "b", "vector": [1, 0]}])
+    with pytest.raises(M.Conflict):
+        store._point("t", stale)
+    monkeypatch.setattr(store, "_point", lambda *a: (_ for _ in ()).throw(OSError("crash")))
+    for change in (lambda: store.upsert("t", [{"id": "c", "vector": [1, 0]}], "once"), lambda: store.checkpoint("t"), lambda: store.delete("t", "a"), lambda: store.index_text("t")):
+        with pytest.raises(OSError):
+            change()
+        assert live(store) == {"a": [1, 0], "b": [1, 0]}
+    monkeypatch.undo()
+    first = store.upsert("t", [{"id": "c", "vector": [1, 0]}], "once")
+    assert first["version"] == 3 and store.upsert("t", [{"id": "c", "vector": [1, 0]}], "once") == first and store._state("t")["lsn"] == 3
+    assert len(store.clean("t")) == 4 and live(store) == {"a": [1, 0], "b": [1, 0], "c": [1, 0]}  # what the crashes left
+
+
+def test_snapshots_outlive_checkpoints(store):
+    store.upsert("t", [{"id": "a", "vector": [1, 0]}])
+    kept, held = store.snapshot("t"), store.open("t")
+    store.upsert("t", [{"id": "a", "vector": [5, 0]}, {"id": "b", "vector": [2, 0]}])
+    store.checkpoint("t")
+    assert [r["vector"] for r in held.records.collect()] == [[1, 0]]  # a reader from before
+    store.clean("t")
+    assert [r["vector"] for r in store.open("t", kept).records.collect()] == [[1, 0]] and live(store) == {"a": [5, 0], "b": [2, 0]}
+    store.release("t", kept)
+    store.clean("t")
+    with pytest.raises(M.NotFound):
+        store.open("t", kept)
+
+
+def test_ledger_pages(store, monkeypatch):
+    monkeypatch.setattr("orrery.sources.store.LEDGER_PAGE", 2)
+    results = [store.upsert("t", [{"id": str(i), "vector": [i, 0]}], f"k{i}") for i in range(3)]
+    assert [store.upsert("t", [{"id": str(i), "vector": [i, 0]}], f"k{i}") for i in range(3)] == results and len(store._state("t")["ledger"]) == 1
+
+
+def test_text_index(store):
+    store.upsert("t", [{"id": str(i), "vector": [1, 0], "text": "tide " * i + "boat"} for i in range(5)])
+    plain = sorted(map(tuple, store.open("t").search(text="tide boat", top_k=5).select("id", "score").collect()))
+    store.index_text("t")
+    view = store.open("t")
+    assert view.postings is not None and sorted(map(tuple, view.search(text="tide boat", top_k=5).select("id", "score").collect())) == [(i, pytest.approx(s)) for i, s in plain]
+    store.delete("t", "3")
+    assert store.open("t").postings is None and "3" not in {r["id"] for r in store.open("t").search(text="tide", top_k=5).collect()}
+
+
+def test_full_pages_end(spark, store):
+    store.load("t", spark.range(M.MAX_PAGE).selectExpr("printf('%05d', id) id", "array(1f, 2f) vector"))
+    rows, cursor = store.scroll("t", M.MAX_PAGE)
+    assert len(rows) == M.MAX_PAGE and cursor == ""
+    assert sorted(r["lsn"] for r in store.log("t").select("lsn").collect()) == list(range(1, M.MAX_PAGE + 1))
+    with pytest.raises(M.InvalidArgument, match="several rows"):
+        store.load("t", spark.createDataFrame([("x", [1.0, 0.0]), ("x", [2.0, 0.0])], "id string, vector array<float>"))
+
+
 def test_catalogue_scroll_backup(store, tmp_path):
     with pytest.raises(M.AlreadyExists):
         store.create(M.CollectionConfig("t", 2))
@@ -114,20 +171,27 @@ def test_fvecs(spark, tmp_path):
 
 
 def test_memory(spark, tmp_path):
-    s, now = Store(spark, str(tmp_path / "m")), [1_000_000.0]
-    e = memory.CachedEmbedder(memory.HashEmbedder(16))
-    s.create(M.CollectionConfig("memories", 16))
-    m = memory.Memory(s, "memories", e, lambda: now[0])
-    m.remember("alice", "old coffee order")
-    now[0] += 30 * 86400
-    m.remember("alice", "new coffee order")
-    m.remember("alice", "short coffee note", ttl=10)
-    m.remember("bob", "bob coffee")
-    now[0] += 20
-    assert [r["text"] for r in m.recall("alice", "coffee").collect()] == ["new coffee order", "old coffee order"]
-    assert m.prune() == 1 and s.open("memories").count() == 3
+    """Recall against the formula; expired memories go in one write."""
+    s, now = Store(spark, str(tmp_path / "m")), [2_000_000.0]
+    e = memory.CachedEmbedder(memory.HashEmbedder(32))
+    s.create(M.CollectionConfig("diary", 32))
+    m = memory.Memory(s, "diary", e, lambda: now[0])
+    day, said = 86400, {}
+    for age, text, ttl in ((20, "tide table for spring", None), (9, "spring tide tonight", None), (3, "paint the boat", 2 * day), (3, "tide", 2 * day), (1, "boat engine", None)):
+        now[0] = 2_000_000 + (20 - age) * day
+        m.remember("skipper", text, ttl=ttl)
+        said[text] = age
+    m.remember("mate", "tide and boat")
+    now[0] = 2_000_000 + 20 * day
+    cosine = lambda a, b: float(np.dot(a, b) / max(1e-12, np.sqrt(np.dot(a, a) * np.dot(b, b))))
+    live = [t for t in said if t not in ("paint the boat", "tide")]
+    want = {t: 0.8 * cosine(*e.embed(["spring tide", t])) + 0.2 * 2 ** (-said[t] * 24 / 168) for t in live}
+    got = [(r["text"], r["score"]) for r in m.recall("skipper", "spring tide").collect()]
+    assert [t for t, _ in got] == sorted(live, key=lambda t: -want[t]) and dict(got) == pytest.approx(want)
+    before = len(s._state("diary")["batches"])
+    assert m.prune() == 2 and s.open("diary").count() == 4 and len(s._state("diary")["batches"]) == before + 1 and m.prune() == 0
     with pytest.raises(M.InvalidArgument):
-        m.remember("alice", "x", {"expires_at": 1})
+        m.remember("skipper", "x", {"expires_at": 1})
     assert set(m.tools()) == {"remember", "recall", "forget", "prune"}
 
 
