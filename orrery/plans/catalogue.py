@@ -232,11 +232,14 @@ def vector_functions(spark, sf_dir):
     return _vectors(spark, sf_dir).records.select(*[c.alias(n) for n, c in row.items()]).agg(*[F.round(F.avg(n), 6).alias(n) for n in row])
 
 
-@query(f"SELECT label, round(avg(v[1]), 6) AS first, round(min(v[2]), 6) AS low, round((max(v[2]) - min(v[2])) / 255, 6) AS step, count(*) AS n FROM {_VEC} GROUP BY label")
+@query(f"""WITH e AS (SELECT unnest(v) AS x, (generate_subscripts(v, 1) - 1)::INT AS place FROM {_VEC}), r AS (SELECT place, min(x) AS low, (max(x) - min(x)) / 255 AS step FROM e GROUP BY place)
+SELECT place, round(any_value(low), 6) AS low, round(any_value(step), 9) AS step, sum(CASE WHEN step = 0 THEN 0 ELSE round((x - low) / step) END)::BIGINT AS codes FROM e JOIN r USING (place) GROUP BY place""")
 def component_ranges(spark, sf_dir):
-    """Per label: mean of a component, least value and code step of another."""
-    r = _vectors(spark, sf_dir).records.withColumn("v", F.col("vector").cast("array<double>"))
-    return r.groupBy("label").agg(F.round(F.avg(F.col("v")[0]), 6).alias("first"), F.round(F.min(F.col("v")[1]), 6).alias("low"), F.round((F.max(F.col("v")[1]) - F.min(F.col("v")[1])) / 255, 6).alias("step"), F.count("*").alias("n"))
+    """Ranges of the components, and the sums of all vectors' codes by these."""
+    rows = _vectors(spark, sf_dir).records
+    ranges = quantized.component_ranges(rows)
+    each = quantized.with_component_codes(rows, ranges).select(F.posexplode("codes").alias("at", "code")).groupBy("at").agg(F.sum("code").alias("codes"))
+    return each.join(ranges, "at").select(F.col("at").alias("place"), F.round("low", 6).alias("low"), F.round("step", 9).alias("step"), "codes")
 
 
 # ---- filters
@@ -318,10 +321,12 @@ def keyset_scroll(spark, sf_dir):
     return Collection(M.CollectionConfig("orders", 1), o).scroll(50, after=("F", "3"), include_vector=True)
 
 
-@query("SELECT o_orderstatus AS namespace, o_orderkey::VARCHAR AS id, o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_orderkey = 7 LIMIT 1")
+@query("SELECT o_orderstatus AS namespace, o_orderkey::VARCHAR AS id, o_custkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey DESC LIMIT 1")
 def point_get(spark, sf_dir):
     o = _table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("namespace"), F.col("o_orderkey").cast("string").alias("id"), "o_custkey")
-    return o.where((F.col("namespace") == "O") & (F.col("id") == "7")).limit(1)
+    found = Collection(M.CollectionConfig("orders", 1), o)
+    key = o.where("namespace = 'O'").agg(F.max_by("id", F.col("id").cast("long"))).first()[0]
+    return found.get(key, "O")
 
 
 # ---- text
@@ -418,12 +423,36 @@ class _Length:
         return [float(len(d)) for d in documents]
 
 
-@query(f"""WITH {_BM}, c AS (SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 50)
-SELECT c.id, length(d.text)::DOUBLE AS score FROM c JOIN (SELECT doc_id::VARCHAR AS id, CASE WHEN strlen(text) > 8192 THEN text[1:1] ELSE text END AS text FROM documents) d USING (id) WHERE false""")
-def cross_encoder_empty(spark, sf_dir):
-    """No query token: nothing to rerank."""
-    c = Collection(M.CollectionConfig("documents", 3), _documents(spark, sf_dir))
-    return _scores(c.search(text="of the", top_k=5, rerank=Rerank("cross_encoder", reranker=_Length(), query="x")))
+class _Broken:
+    max_documents = 200
+
+    def score(self, query, documents):
+        raise TimeoutError
+
+
+@query(f"SELECT id, round({_COS}, 6) AS score FROM {_VEC} ORDER BY {_COS} DESC, id LIMIT 10")
+def cross_encoder_fallback(spark, sf_dir):
+    """A reranker that fails leaves the first stage's order."""
+    c = _vectors(spark, sf_dir)
+    c.records = c.records.withColumn("text", F.concat(F.lit("vector "), F.col("id")))
+    return _scores(c.search(_asked(), top_k=10, rerank=Rerank("cross_encoder", reranker=_Broken(), query="x")))
+
+
+@query(f"""WITH {_BM} SELECT bm.id, round(score, 6) AS score FROM bm JOIN d USING (id) WHERE d.lang = 'en' AND d.n_chars >= 400 ORDER BY score DESC, bm.id LIMIT 10""")
+def bm25_namespace_filter(spark, sf_dir):
+    """One language is a namespace, and a filter holds; the statistics are those of all documents."""
+    rows = _documents(spark, sf_dir).withColumn("namespace", F.col("metadata")["lang"]["s"])
+    return _scores(Collection(M.CollectionConfig("documents", 3), rows).search(text=_TEXT, top_k=10, namespace="en", filter={"n_chars": {"$gte": 400}}))
+
+
+@query(f"""WITH {_BM} SELECT bm.id, round(score, 6) AS score FROM bm JOIN d USING (id) WHERE d.lang = 'de' ORDER BY score DESC, bm.id LIMIT 10""")
+def bm25_stored_index(spark, sf_dir):
+    """The same from an inverted index that the store keeps."""
+    s = store.Store(spark, _temporary(spark))
+    s.create(M.CollectionConfig("documents", 3))
+    s.load("documents", _documents(spark, sf_dir).withColumn("namespace", F.col("metadata")["lang"]["s"]))
+    s.index_text("documents")
+    return _scores(s.open("documents").search(text=_TEXT, top_k=10, namespace="de"))
 
 
 @query("""SELECT id, n::DOUBLE AS score FROM (SELECT (vec_id // 4)::VARCHAR AS id, max(length('block ' || (vec_id // 4)::VARCHAR)) AS n,
@@ -460,16 +489,65 @@ def checkpoint_delta(spark, sf_dir):
     return store.shadowed(base, latest).select("namespace", "id", "lsn", "value")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query("SELECT '' AS namespace, c_custkey::VARCHAR AS id, c_name FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
 def tombstone_antijoin(spark, sf_dir):
-    dead = _table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("c_custkey")).distinct()
-    return _table(spark, sf_dir, "customer").join(dead, "c_custkey", "left_anti").select("c_custkey", "c_name")
+    """A base without the keys that a delta deletes."""
+    base = _table(spark, sf_dir, "customer").select(F.lit("").alias("namespace"), F.col("c_custkey").cast("string").alias("id"), "c_name")
+    dead = _table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.lit("").alias("namespace"), F.col("user_id").cast("string").alias("id"), F.lit(None).cast("string").alias("c_name"), F.lit("delete").alias("op"))
+    return store.shadowed(base, dead)
+
 
+def _customers(spark, sf_dir) -> DataFrame:
+    c = _table(spark, sf_dir, "customer")
+    return c.select(F.col("c_mktsegment").alias("namespace"), F.col("c_custkey").cast("string").alias("id"), F.array(F.col("c_acctbal").cast("float")).alias("vector"))
 
-@query("SELECT user_id, min(event_id) AS first, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
-def idempotency_dedupe(spark, sf_dir):
-    """First use of each key, and how many repeats agree with it."""
-    return _table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("first"), F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds"))
+
+_KEPT = "SELECT c_mktsegment AS namespace, c_custkey::VARCHAR AS id, round((CASE WHEN c_custkey % 3 = 0 THEN -1 ELSE 1 END * c_acctbal::FLOAT)::DOUBLE, 2) AS value FROM customer WHERE c_custkey % 7 <> 0"
+
+
+def _stored(spark, sf_dir) -> store.Store:
+    """Customers loaded, a third of them replaced after a checkpoint, and a seventh deleted."""
+    s, rows = store.Store(spark, _temporary(spark)), _customers(spark, sf_dir)
+    s.create(M.CollectionConfig("customers", 1, "dot"))
+    s.load("customers", rows)
+    s.checkpoint("customers")
+    s.load("customers", rows.where("id % 3 = 0").withColumn("vector", F.transform("vector", lambda x: -x)))
+    s.delete_keys("customers", rows.where("id % 7 = 0"))
+    return s
+
+
+@query(_KEPT)
+def store_lifecycle(spark, sf_dir):
+    """The live view of a base with later batches, after a checkpoint and a clean-up of what nothing names."""
+    s = _stored(spark, sf_dir)
+    s.checkpoint("customers")
+    s.clean("customers")
+    return s.records("customers").select("namespace", "id", F.round(F.col("vector")[0].cast("double"), 2).alias("value"))
+
+
+@query("SELECT c_mktsegment AS namespace, c_custkey::VARCHAR AS id, round(c_acctbal::FLOAT::DOUBLE, 2) AS value FROM customer")
+def store_snapshot(spark, sf_dir):
+    """A snapshot from before later batches, read after these, a checkpoint and a clean-up."""
+    s, rows = store.Store(spark, _temporary(spark)), _customers(spark, sf_dir)
+    s.create(M.CollectionConfig("customers", 1, "dot"))
+    s.load("customers", rows)
+    kept = s.snapshot("customers")
+    s.delete_keys("customers", rows.where("id % 2 = 0"))
+    s.checkpoint("customers")
+    s.clean("customers")
+    return s.open("customers", kept).records.select("namespace", "id", F.round(F.col("vector")[0].cast("double"), 2).alias("value"))
+
+
+@query(f"SELECT namespace, id FROM ({_KEPT}) ORDER BY 1, 2 LIMIT 300")
+def store_scroll(spark, sf_dir):
+    """Three pages by cursor (a page is the feature)."""
+    s, found, cursor = _stored(spark, sf_dir), [], ""
+    for _ in range(3):
+        page, cursor = s.scroll("customers", 100, cursor=cursor)
+        found += [(r["namespace"], r["id"]) for r in page]
+        if not cursor:
+            break
+    return spark.createDataFrame(found, "namespace string, id string")
 
 
 @query("""WITH e AS (SELECT (event_id % 4)::INTEGER AS shard, event_id // 4 + 1 AS lsn FROM events), r AS (SELECT * FROM e WHERE NOT (shard = 3 AND lsn = 50)),
@@ -490,29 +568,40 @@ def ordered_apply_stream(spark, sf_dir):
 
 @query(f"SELECT namespace, id, lsn FROM ({_LAST}) WHERE rn = 1 AND op <> 'delete'")
 def lww_stream(spark, sf_dir):
-    """The live view kept by a stream over log files."""
+    """The live view kept by a stream over log files, in two micro-batches; the second one brings older writes too."""
     root = _temporary(spark)
     log = _log(spark, sf_dir).withColumn("shard", F.lit(0)).withColumn("payload", F.col("value").cast("string"))
-    log.select(*[f.name for f in changelog.LOG]).write.parquet(f"{root}/log")
-    changelog.materialize(changelog.read(spark, f"{root}/log"), f"{root}/view", f"{root}/state").awaitTermination()
-    return changelog.live(spark, f"{root}/view", 0).select("namespace", "id", "lsn")
+    for odd in (1, 0):
+        log.where(F.col("lsn") % 2 == odd).select(*[f.name for f in changelog.LOG]).coalesce(1).write.mode("append").parquet(f"{root}/log")
+        changelog.materialize(changelog.read(spark, f"{root}/log"), f"{root}/view", f"{root}/state").awaitTermination()
+    return changelog.live(spark, f"{root}/view", 1).select("namespace", "id", "lsn")
+
+
+_AGE = f"({NOW} - vec_id * 7919 % 2000000)"
+_MIXED = f"0.8 * sim + 0.2 * pow(2, -greatest(0, ({NOW} - created) / 3600.0) / 168)"
 
 
-@query(f"""WITH m AS (SELECT conv_id::VARCHAR || '-' || turn AS id, {NOW} - (conv_id * 7919 + turn * 3600) % 2000000 AS created, conv_id % 5 AS e, (length(text) % 100) / 100.0 AS sim FROM conversations WHERE role = 'user'),
-f AS (SELECT * FROM m WHERE e <> 0 ORDER BY sim DESC, id LIMIT 40)
-SELECT id, round(0.8 * sim + 0.2 * pow(2, -greatest(0, ({NOW} - created) / 3600.0) / 168), 6) AS score FROM f ORDER BY 0.8 * sim + 0.2 * pow(2, -greatest(0, ({NOW} - created) / 3600.0) / 168) DESC, sim DESC, id LIMIT 10""")
+@query(f"""WITH m AS (SELECT vec_id::VARCHAR AS id, {_AGE} AS created, list_cosine_similarity(embedding::DOUBLE[], {Q0}) AS sim FROM embeddings WHERE vec_id % 5 <> 0),
+f AS (SELECT * FROM m ORDER BY sim DESC, id LIMIT 40) SELECT id, round({_MIXED}, 6) AS score FROM f ORDER BY {_MIXED} DESC, sim DESC, id LIMIT 10""")
 def memory_recall(spark, sf_dir):
-    c = _table(spark, sf_dir, "conversations").where("role = 'user'")
-    created = F.lit(NOW) - (F.col("conv_id") * 7919 + F.col("turn") * 3600) % 2000000
-    rows = c.select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"), created.alias("created_at"), F.when(F.col("conv_id") % 5 == 0, NOW - 1).otherwise(memory.NEVER).alias("expires_at"), (F.length("text") % 100 / 100.0).alias("score"))
-    hits = rows.where(memory.unexpired(F.col("expires_at"), NOW)).orderBy(F.desc("score"), "id").limit(40)
-    return memory.ranked(hits, NOW, 10).select("id", F.round("score", 6).alias("score"))
+    """The nearest of those that have not expired, by similarity and recency."""
+    e = _table(spark, sf_dir, "embeddings").withColumn("expires", F.when(F.col("vec_id") % 5 == 0, F.lit(float(NOW - 1))).otherwise(F.lit(float(memory.NEVER))))
+    meta = filters.metadata_map({"expires_at": "expires", "created_at": "created"}, {"expires_at": "d", "created_at": "d"})
+    rows = e.withColumn("created", (F.lit(NOW) - F.col("vec_id") * 7919 % 2000000).cast("double")).select(F.lit("").alias("namespace"), F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), meta.alias("metadata"), F.lit(None).cast("string").alias("payload"))
+    hits = Collection(M.CollectionConfig("memories", DIM), rows).dense(_asked(), 40, filter={"expires_at": {"$gt": NOW}})
+    return memory.ranked(hits.withColumn("created_at", F.col("metadata")["created_at"]["d"]), NOW, 10).select("id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT user_id, count(*) FILTER (WHERE value > 30) AS live, count(*) FILTER (WHERE value <= 30) AS pruned FROM events GROUP BY user_id")
+@query("SELECT user_id::VARCHAR AS user_id, count(*) AS live, (SELECT count(*) FROM events WHERE value <= 30) AS pruned FROM events WHERE value > 30 GROUP BY user_id")
 def ttl_prune(spark, sf_dir):
+    """Memories in a store, after those that have expired were deleted from it."""
+    s = store.Store(spark, _temporary(spark))
+    s.create(M.CollectionConfig("events", 1))
+    meta = filters.metadata_map({"expires_at": "value"}, {"expires_at": "d"})
     e = _table(spark, sf_dir, "events")
-    return e.groupBy("user_id").agg(F.count_if(memory.unexpired(F.col("value"), 30)).alias("live"), F.count_if(F.col("value") <= 30).alias("pruned"))
+    s.load("events", e.select(F.col("user_id").cast("string").alias("namespace"), F.col("event_id").cast("string").alias("id"), F.array(F.lit(1.0).cast("float")).alias("vector"), meta.alias("metadata")))
+    gone = memory.Memory(s, "events", memory.HashEmbedder(1), lambda: 30).prune()
+    return s.records("events").groupBy(F.col("namespace").alias("user_id")).agg(F.count("*").alias("live")).withColumn("pruned", F.lit(gone).cast("long"))
 
 
 @query("SELECT DISTINCT r_name AS a, n_name AS b FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE')")
