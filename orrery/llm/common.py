@@ -86,6 +86,17 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on between tasks, and several share a machine."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Record batches cut to about `most` bytes of text each (one row at least), with their bytes and offsets."""
     for batch in batches:
@@ -95,6 +106,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) ->
             j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
             yield batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
             i = j
+    trim()
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -15,6 +15,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
+from .common import trim
 from .spans import SPAN, by_bucket, bucket_of, merged, pack, read_texts, span_rows, unpack
 
 ROW = "part int, kind int, bucket int, blob binary"
@@ -130,6 +131,8 @@ def told_apart(table: pa.Table, parts: int, within: bool) -> pa.Table:
         marks["part"] = table.column("part")[0].as_py()
         for bucket, some in by_bucket(bucket_of(marks["doc"], marks["var"], parts)):
             out.append({"kind": LOOK, "bucket": bucket, "blob": squeezed(planes(marks[some]))})
+        del doc, var, place, many, off, key, name, order, claims, marks
+    trim()
     return pa.table(rows(out, ("kind", "bucket", "blob")))
 
 
@@ -190,6 +193,8 @@ def fetched(texts: pa.Table, marks: pa.Table, width: int, parts: int, units: Cal
             own = leads[lo:hi]
             cells = (planes(claims[mine]), (run[mine] - lo).astype("<u4"), reach[lo:hi, 0].astype("<i8"), np.array([len(x) for x in own], "<u4"), np.frombuffer(b"".join(own), np.uint8))
             out.append({"kind": ANSWERS, "part": bucket, "blob": squeezed(*cells)})
+    del bodies, leads
+    trim()
     return pa.table(rows(out, ("kind", "part", "blob")))
 
 

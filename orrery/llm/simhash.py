@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Names, mixed, partitions, piece_keys, settled, slices, with_heavy, words
+from .common import Names, mixed, partitions, piece_keys, settled, slices, trim, with_heavy, words
 from .components import components, forest
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -281,6 +281,7 @@ def _whole(batches: Iterator[pa.RecordBatch], most: int = 100_000) -> Iterator[p
         held = table.slice(whole).combine_chunks().to_batches()
     if held:
         yield pa.Table.from_batches(held)
+    trim()
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

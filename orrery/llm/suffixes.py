@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, joined, mixed, partitions, slices
+from .common import Prefix, joined, mixed, partitions, slices, trim
 from .gsaca import suffix_array
 from .repeats import ANSWERS, FOUND, LOOK, MARK, ROW, SPANS, TOLD, fetched, numbers, opened, passed, rows, sent, spans_of, told_apart
 from .spans import covered, doc_ids, merged, span_rows, texts_in_buckets, variants, with_spans
@@ -213,6 +213,7 @@ def _sorted(table: pa.Table, parts: int, width: int, gram: int, most: int = SYMB
     doc, var, place = (np.concatenate(x) for x in zip(*out))
     sort = np.lexsort((place, var, doc))
     done += span_rows(merged(doc[sort], var[sort], place[sort]), parts, kind=SPANS)
+    trim()
     return pa.table(rows(done, ("kind", "bucket", "blob")))
 
 
