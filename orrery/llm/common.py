@@ -75,6 +75,11 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def buckets(spark: SparkSession, each: int = 3) -> int:
+    """Buckets that a worker holds whole: several a shuffle partition, as it holds one at a time."""
+    return each * partitions(spark)
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string or binary column end to end, and n + 1 offsets into them; null counts as empty."""
     if column.null_count:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Names, equal_pieces, mixed, partitions, piece_keys, slices, words
+from .common import Names, buckets, equal_pieces, mixed, piece_keys, slices, words
 from .recompression import keys
 from .repeats import ANSWERS, FOUND, LOOK, MARK, ROW, SPANS, TOLD, fetched, numbers, opened, passed, rows, sent, spans_of, told_apart
 from .spans import covered, doc_ids, merged, span_rows, texts_in_buckets, variants, with_spans
@@ -103,7 +103,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     against windows without a symbol of their own, which are their own key: the result is the same. No word goes on the
     word of a hash: repeats are compared word by word.
     """
-    parts = partitions(df.sparkSession)
+    parts = buckets(df.sparkSession)
 
     def emit(batches):
         for batch, data, at in slices(batches, "text"):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, joined, mixed, partitions, slices, trim
+from .common import Prefix, buckets, joined, mixed, slices, trim
 from .gsaca import suffix_array
 from .repeats import ANSWERS, FOUND, LOOK, MARK, ROW, SPANS, TOLD, fetched, numbers, opened, passed, rows, sent, spans_of, told_apart
 from .spans import covered, doc_ids, merged, span_rows, texts_in_buckets, variants, with_spans
@@ -230,7 +230,7 @@ def without_shared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if width < 8 or gram >= width:
         raise ValueError("strings of 8 bytes or more, and a shorter gram")
-    parts = partitions(df.sparkSession)
+    parts = buckets(df.sparkSession)
 
     def emit(batches):
         for batch, data, at in slices(batches, "text"):
