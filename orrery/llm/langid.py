@@ -83,7 +83,7 @@ def _text_scores(df: DataFrame, model: tuple[list[str], np.ndarray], weight: flo
 
     def score(batches):
         table = shared.value
-        for batch, data, at in slices(batches, "text"):
+        for batch, data, at in slices(batches, "text", 1 << 18):  # a row of numbers a trigram
             keys, before = trigrams(data, at)
             total = np.zeros((len(keys) + 1, table.shape[1]))
             np.cumsum(table[keys], axis=0, dtype=np.float64, out=total[1:])
