@@ -121,6 +121,18 @@ def _close_in_bulk(prints: np.ndarray, passes: int) -> tuple[np.ndarray, np.ndar
     return np.concatenate(left), np.concatenate(right)
 
 
+def _boxes(prints: DataFrame, max_bits: int, segments: int) -> DataFrame:
+    """A row for each fingerprint and each of its pigeonring keys: the columns of `prints`, start, key."""
+    cut, equal = ring(max_bits, segments)
+    keys = []
+    for i in range(segments):
+        key = F.lit(i).cast("long")
+        for a, b in (cut[(i + j) % segments] for j in range(equal)):
+            key = F.shiftleft(key, b - a).bitwiseOR(F.shiftrightunsigned("print", a).bitwiseAND(F.lit((1 << (b - a)) - 1)))
+        keys.append(F.struct(F.lit(i).alias("start"), key.alias("key")))
+    return prints.select(*prints.columns, F.explode(F.array(*keys)).alias("box")).select(*prints.columns, "box.start", "box.key")
+
+
 BULK = 2048
 
 
@@ -179,14 +191,7 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     docs = settled(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(prints, "id long, print long"))
     nodes = settled(docs.groupBy("print").agg(F.min("id").alias("node"), F.count("*").alias("n")))
-    cut, equal = ring(max_bits, segments)
-    keys = []
-    for i in range(segments):
-        key = F.lit(i).cast("long")
-        for a, b in (cut[(i + j) % segments] for j in range(equal)):
-            key = F.shiftleft(key, b - a).bitwiseOR(F.shiftrightunsigned("print", a).bitwiseAND(F.lit((1 << (b - a)) - 1)))
-        keys.append(F.struct(F.lit(i).alias("start"), key.alias("key")))
-    boxes = nodes.select("print", F.explode(F.array(*keys)).alias("box")).select("print", "box.start", "box.key")
+    boxes = _boxes(nodes.select("print"), max_bits, segments)
     dealt = boxes.repartition(partitions(spark), "key").sortWithinPartitions("key", "print")
     links = dealt.mapInArrow(lambda x: _bucket_links(x, max_bits, segments), "a long, b long")
     label = nodes.join(components(links).withColumnRenamed("node", "print"), "print", "left").select("print", "n", "node", F.coalesce("component", "print").alias("component"))
@@ -343,6 +348,31 @@ def _distances(parities: list[bytes]):
     return distance
 
 
+def _nearest(batches: Iterator[pa.RecordBatch], max_bits: int, segments: int) -> Iterator[pa.RecordBatch]:
+    """Rows of `_boxes` sorted by (key, print, node) -> each with the nearest fingerprint of its bucket that is within
+    `max_bits` and in another component, and how many bits are equal: no more pairs than rows."""
+    masks, (_, equal) = _masks(max_bits, segments), ring(max_bits, segments)
+    for table in _whole(batches):
+        key, prints, start, node, comp = (table.column(c).to_numpy() for c in ("key", "print", "start", "node", "component"))
+        prints, none = prints.view(np.uint64), np.iinfo(np.int64).max
+        best, alive, step = np.full(len(key), none), np.arange(len(key)), 1
+        while len(alive):
+            alive = alive[alive + step < len(key)]
+            alive = alive[key[alive + step] == key[alive]]
+            i = alive[comp[alive] != comp[alive + step]]
+            x = prints[i] ^ prints[i + step]
+            for n in range(equal, segments):
+                fits = np.bitwise_count(x & masks[start[i], n]) <= (n + 1) * max_bits // segments
+                i, x = i[fits], x[fits]
+            apart = np.bitwise_count(x).astype(np.int64) << 32
+            best[i] = np.minimum(best[i], apart | (i + step))
+            best[i + step] = np.minimum(best[i + step], apart | i)
+            step += 1
+        i = np.flatnonzero(best < none)
+        j = best[i] & 0xFFFFFFFF
+        yield pa.record_batch({"a": pa.array(np.maximum(node[i], node[j])), "b": pa.array(np.minimum(node[i], node[j])), "n": pa.array(64 - (best[i] >> 32))})
+
+
 def _across(batches: Iterator[pa.RecordBatch], similarity: float, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, size, node) -> the pairs of a key whose components differ and whose sizes and parities allow the
     similarity."""
@@ -363,14 +393,17 @@ def _across(batches: Iterator[pa.RecordBatch], similarity: float, most: int = 1
                 out, held = [], 0
 
 
-ROUNDS = 2  # of links between neighbours, before all candidates
+ROUNDS = 2  # of links between neighbours of a key, after those of fingerprints and before all candidates
+PRINT_WIDTH, PRINT_BITS, PRINT_SEGMENTS = 3, 3, 7  # fingerprints that make the first candidates
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per row: doc_id, component_id: the smallest id of its group of near-duplicates.
 
-    Texts are alike if the Jaccard similarity of their distinct shingles of `width` words is `similarity` or more. Such
-    texts share one of the first |x| - ceil(similarity * |x|) + 1 shingles of each in any order that is the same for all
+    Texts are alike if the Jaccard similarity of their distinct shingles of `width` words is `similarity` or more.
+
+    First each text is a candidate of the nearest SimHash fingerprint in each of its pigeonring buckets. What fingerprints
+    do not reveal follows exactly: texts that are alike share one of the first |x| - ceil(similarity * |x|) + 1 shingles of each in any order that is the same for all
     texts: these shingles are the keys of the candidates. The order puts shingles that a sample of the rows has more often
     last, so that buckets are small; the result does not depend on it. In a few rounds each text of a bucket is a candidate
     of the next one in size that is in another component, and keeps on either side the one with which it shares the most
@@ -407,12 +440,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 "digest": pa.array(_digests(data, at), pa.binary()),
                 "size": pa.array([len(x) for x in sets], pa.int32()),
                 "parity": pa.array([parity(x) for x in sets], pa.binary()),
+                "print": pa.array(fingerprints(data, at, PRINT_WIDTH).view(np.int64)),
                 "keys": pa.array([_lead(x, similarity, common, ranks).view(np.int64) for x in sets], pa.list_(pa.int64())),
             }
             yield pa.record_batch(cells)
 
-    measured = rows.mapInArrow(features, "id long, digest binary, size int, parity binary, keys array<long>")
-    least = F.min_by(F.struct("size", "parity", "keys"), F.col("id"))
+    measured = rows.mapInArrow(features, "id long, digest binary, size int, parity binary, print long, keys array<long>")
+    least = F.min_by(F.struct("size", "parity", "print", "keys"), F.col("id"))
     nodes = settled(measured.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n"), least.alias("f")).select("digest", "node", "n", "f.*"))
 
     def dealt(keys: DataFrame) -> DataFrame:
@@ -449,25 +483,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         drawn = settled(rows.join(side, "id", "left_semi").mapInArrow(draw, "id long, sketch binary").distinct())
         return settled(ends(near, drawn, "id", ("x",), ("y",)).select("a", "b", "x", "y").mapInArrow(alike, "a long, b long").distinct())
 
-    def placed(comp: DataFrame | None) -> DataFrame:
+    def placed(table: DataFrame, comp: DataFrame | None) -> DataFrame:
         if comp is None:
-            return met.withColumn("component", F.col("node"))
-        return met.join(comp, "node", "left").select("node", "key", "size", F.coalesce("component", "node").alias("component"))
+            return table.withColumn("component", F.col("node"))
+        return table.join(comp, "node", "left").select(*table.columns, F.coalesce("component", "node").alias("component"))
+
+    def near_prints(comp: DataFrame | None) -> DataFrame:
+        boxes = _boxes(placed(nodes.select("node", "print"), comp), PRINT_BITS, PRINT_SEGMENTS)
+        dealt = boxes.repartition(partitions(spark), "key").sortWithinPartitions("key", "print", "node")
+        return dealt.mapInArrow(lambda x: _nearest(x, PRINT_BITS, PRINT_SEGMENTS), "a long, b long, n long").groupBy("a", "b").agg(F.max("n").alias("n"))
+
+    def near_keys(comp: DataFrame | None) -> DataFrame:
+        return dealt(placed(met, comp)).mapInArrow(lambda x: _next(x, similarity), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n"))
 
     links = comp = tried = None
     marks = nodes.select("node", "size", "parity")
-    for _ in range(ROUNDS):
-        near = dealt(placed(comp)).mapInArrow(lambda x: _next(x, similarity), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n"))
+    for neighbours in (near_prints, *[near_keys] * ROUNDS):
+        near = neighbours(comp)
         near = settled(near if tried is None else near.join(tried, ["a", "b"], "left_anti"))
         best = [near.groupBy(own).agg(F.max(F.struct("n", other)).alias("m")).select(own, f"m.{other}").select("a", "b") for own, other in (("a", "b"), ("b", "a"))]
         chosen = settled(best[0].union(best[1]).distinct())
         found = checked(settled(ends(chosen, marks, "node", ("m", "x"), ("n", "y")).select("a", "b", "m", "x", "n", "y").mapInArrow(close, "a long, b long")))
-        if found.isEmpty():
-            break
         tried = chosen if tried is None else tried.union(chosen)
+        if found.isEmpty():
+            continue
         links = found if links is None else links.union(found)
         comp = components(links)
-    several = dealt(placed(comp)).mapInArrow(_mixed, "node long, key long, size int, component long")
+    several = dealt(placed(met, comp)).mapInArrow(_mixed, "node long, key long, size int, component long")
     with_parity = several.join(nodes.select("node", "parity"), "node").select("node", "key", "size", "component", "parity")
     rest = settled(dealt(with_parity).mapInArrow(lambda x: _across(x, similarity), "a long, b long").distinct())
     if not rest.isEmpty():

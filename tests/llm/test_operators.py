@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -723,6 +724,34 @@ def test_near_duplicates_of_large_groups(spark):
     assert got == dict(enumerate(least))
 
 
+def test_near_duplicates_begin_with_fingerprints(spark, monkeypatch):
+    """Pigeonring buckets of SimHash fingerprints give the first candidates."""
+    seen, boxes = [], simhash._boxes
+    monkeypatch.setattr(simhash, "_boxes", lambda *a: seen.append(a[1:]) or boxes(*a), raising=False)
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    got = simhash.near_duplicates(documents(spark, [(1, near), (2, near + " aa"), (3, "other words than these are here")])).collect()
+    assert seen and {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3}
+
+
+def test_nearest_fingerprints_of_a_bucket():
+    r = random.Random(15)
+    prints = sorted({sum(1 << b for b in r.sample(range(9), r.randint(0, 4))) for _ in range(150)})
+    n = len(prints)
+    comp = [r.randrange(20) for _ in range(n)]
+    batch = pa.record_batch({"key": pa.array([7] * n), "print": pa.array(prints), "start": pa.array([1] * n, pa.int32()), "node": pa.array(range(n)), "component": pa.array(comp)})
+    got = [x for b in simhash._nearest(iter([batch]), 3, 7) for x in b.to_pylist()]
+    assert len(got) <= n
+    best = {}
+    for x in got:
+        d = (prints[x["a"]] ^ prints[x["b"]]).bit_count()
+        assert d <= 3 and x["n"] == 64 - d and comp[x["a"]] != comp[x["b"]]
+        for k in (x["a"], x["b"]):
+            best[k] = min(best.get(k, 9), d)
+    for i in range(n):
+        within = [d for j in range(n) if comp[i] != comp[j] and (d := (prints[i] ^ prints[j]).bit_count()) <= 3]
+        assert best.get(i) == min(within, default=None)
+
+
 def test_leaks_of_windows_with_few_literals(spark):
     """Number-dense items count where the values agree, and only there; those with other values keep their wide windows."""
     bench = [(1, "what is 37 * 48 + 12"), (2, "mix 3 kg of 4 l and 5 g"), (3, "take 3 kg of apples and 4 kg of pears then tell how many baskets you will need for all of them")]
