@@ -242,10 +242,10 @@ def resemblance(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def parity(own: np.ndarray) -> bytes:
-    """A bit for each value of the low bits of a set's hashes: whether an odd number of them has it. There are at least as
-    many bits as hashes, and a power of two, so that bits fold."""
-    bits = max(64, 1 << max(len(own) - 1, 0).bit_length())
+def parity(own: np.ndarray, each: int = 1) -> bytes:
+    """A bit for each value of the low bits of a set's hashes: whether an odd number of them has it. There are at least
+    `each` times as many bits as hashes, and a power of two, so that bits fold."""
+    bits = each * max(64, 1 << max(len(own) - 1, 0).bit_length())
     return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
@@ -373,26 +373,76 @@ def _nearest(batches: Iterator[pa.RecordBatch], max_bits: int, segments: int) ->
         yield pa.record_batch({"a": pa.array(np.maximum(node[i], node[j])), "b": pa.array(np.minimum(node[i], node[j])), "n": pa.array(64 - (best[i] >> 32))})
 
 
-def _across(batches: Iterator[pa.RecordBatch], similarity: float, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, size, node) -> the pairs of a key whose components differ and whose sizes and parities allow the
-    similarity."""
+def _likely(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, size, node), without those that no other of the key and another component is like by their sizes
+    and parities."""
+    for table in _whole(batches, 20_000):
+        key, size, comp = (table.column(c).to_numpy() for c in ("key", "size", "component"))
+        distance, size = _distances(table.column("parity").to_pylist()), size.astype(np.int64)
+        stays, alive, step = np.zeros(len(key), bool), np.arange(len(key)), 1
+        while len(alive):
+            alive = alive[alive + step < len(key)]
+            alive = alive[(key[alive + step] == key[alive]) & (size[alive + step] * similarity <= size[alive] + 1e-9)]
+            i = alive[(comp[alive] != comp[alive + step]) & ~(stays[alive] & stays[alive + step])]
+            i = i[distance(i, i + step) <= within(size[i] + size[i + step], similarity)]
+            stays[i] = stays[i + step] = True
+            step += 1
+        yield from table.drop_columns("parity").filter(pa.array(stays)).combine_chunks().to_batches()
+
+
+def _known(node: np.ndarray, tried: list) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of nodes, and the tried pairs among them (larger, smaller) as one number each, ascending."""
+    names, at = np.unique(node, return_inverse=True)
+    _, first = np.unique(at, return_index=True)
+    out = [np.zeros(0, np.int64)]
+    for k in first.tolist():
+        if tried[k]:
+            other = np.array(tried[k], np.int64)
+            spot = np.minimum(np.searchsorted(names, other), len(names) - 1)
+            out.append(at[k] * len(names) + spot[names[spot] == other])
+    return at, np.unique(np.concatenate(out))
+
+
+def _across(batches: Iterator[pa.RecordBatch], similarity: float, most: int = 2) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, size, node) -> pairs (a, b) of a key whose components differ, whose sizes and parities allow the
+    similarity and that are not among `tried`: the best `most` of each row. A row that has more gives (its node, null) too:
+    of each pair left out, both ends do. So there are at most `most` + 1 rows for each, and none is lost."""
+    none = np.iinfo(np.int64).max
     for table in _whole(batches, 20_000):
         key, node, size, comp = (table.column(c).to_numpy() for c in ("key", "node", "size", "component"))
+        number, known = _known(node, table.column("tried").to_pylist() if "tried" in table.column_names else [None] * len(node))
+        size, names = size.astype(np.int64), int(number.max()) + 1
         distance = _distances(table.column("parity").to_pylist())
-        alive, step, out, held = np.arange(len(key)), 1, [], 0
+        best, many = np.full((most, len(key)), none), np.zeros(len(key), np.int64)
+        alive, step = np.arange(len(key)), 1
         while len(alive):
             alive = alive[alive + step < len(key)]
             alive = alive[(key[alive + step] == key[alive]) & (size[alive + step] * similarity <= size[alive] + 1e-9)]
             i = alive[comp[alive] != comp[alive + step]]
-            i = i[distance(i, i + step) <= within(size[i].astype(np.int64) + size[i + step], similarity)]
-            out.append((np.maximum(node[i], node[i + step]), np.minimum(node[i], node[i + step])))
-            held, step = held + len(i), step + 1
-            if held >= most or (not len(alive) and held):
-                a, b = (np.concatenate(x) for x in zip(*out))
-                yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
-                out, held = [], 0
+            apart, both = distance(i, i + step), size[i] + size[i + step]
+            fits = apart <= within(both, similarity)
+            i, apart, both = i[fits], apart[fits], both[fits]
+            if len(i) and len(known):
+                pair = np.where(node[i] > node[i + step], number[i] * names + number[i + step], number[i + step] * names + number[i])
+                new = known[np.minimum(np.searchsorted(known, pair), len(known) - 1)] != pair
+                i, apart, both = i[new], apart[new], both[new]
+            if len(i):
+                rank = (apart * (1 << 20) // np.maximum(both, 1)) << 32
+                for own, other in ((i, i + step), (i + step, i)):
+                    many[own] += 1
+                    value = rank | other
+                    for slot in best:
+                        value, slot[own] = np.maximum(value, slot[own]), np.minimum(value, slot[own])
+            step += 1
+        i = np.tile(np.arange(len(key)), most)[(best < none).ravel()]
+        j = best.ravel()[(best < none).ravel()] & 0xFFFFFFFF
+        _, once = np.unique(np.maximum(number[i], number[j]) * names + np.minimum(number[i], number[j]), return_index=True)
+        i, j, more = i[once], j[once], np.unique(node[many > most])
+        b = pa.concat_arrays([pa.array(np.minimum(node[i], node[j]), pa.int64()), pa.nulls(len(more), pa.int64())])
+        yield pa.record_batch({"a": pa.array(np.concatenate([np.maximum(node[i], node[j]), more])), "b": b})
 
 
+FINE = 4  # bits a shingle, of the parities of those whose coarse ones are near
 ROUNDS = 2  # of links between neighbours of a key, after those of fingerprints and before all candidates
 PRINT_WIDTH, PRINT_BITS, PRINT_SEGMENTS = 3, 3, 7  # fingerprints that make the first candidates
 
@@ -407,7 +457,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts: these shingles are the keys of the candidates. The order puts shingles that a sample of the rows has more often
     last, so that buckets are small; the result does not depend on it. In a few rounds each text of a bucket is a candidate
     of the next one in size that is in another component, and keeps on either side the one with which it shares the most
-    keys: links of these join most groups. Then come all candidates that are not in one component yet.
+    keys: links of these join most groups. Then come all candidates that are not in one component yet, the nearest few of
+    each text at a time, until none is left.
 
     A pair is dropped if the parities of the two sets differ in more bits than sets of the similarity can; all others are
     checked on all shingles of both texts before they count. Texts of the same lowered words are one; so are blank and
@@ -440,13 +491,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 "digest": pa.array(_digests(data, at), pa.binary()),
                 "size": pa.array([len(x) for x in sets], pa.int32()),
                 "parity": pa.array([parity(x) for x in sets], pa.binary()),
+                "fine": pa.array([parity(x, FINE) for x in sets], pa.binary()),
                 "print": pa.array(fingerprints(data, at, PRINT_WIDTH).view(np.int64)),
                 "keys": pa.array([_lead(x, similarity, common, ranks).view(np.int64) for x in sets], pa.list_(pa.int64())),
             }
             yield pa.record_batch(cells)
 
-    measured = rows.mapInArrow(features, "id long, digest binary, size int, parity binary, print long, keys array<long>")
-    least = F.min_by(F.struct("size", "parity", "print", "keys"), F.col("id"))
+    measured = rows.mapInArrow(features, "id long, digest binary, size int, parity binary, fine binary, print long, keys array<long>")
+    least = F.min_by(F.struct("size", "parity", "fine", "print", "keys"), F.col("id"))
     nodes = settled(measured.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n"), least.alias("f")).select("digest", "node", "n", "f.*"))
 
     def dealt(keys: DataFrame) -> DataFrame:
@@ -509,12 +561,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             continue
         links = found if links is None else links.union(found)
         comp = components(links)
-    several = dealt(placed(met, comp)).mapInArrow(_mixed, "node long, key long, size int, component long")
-    with_parity = several.join(nodes.select("node", "parity"), "node").select("node", "key", "size", "component", "parity")
-    rest = settled(dealt(with_parity).mapInArrow(lambda x: _across(x, similarity), "a long, b long").distinct())
-    if not rest.isEmpty():
-        found = checked(rest)
-        comp = components(found if links is None else links.union(found))
+    rows_left, most = met, 2
+    while True:
+        several = settled(dealt(placed(rows_left, comp)).mapInArrow(_mixed, "node long, key long, size int, component long"))
+        if several.isEmpty():
+            break
+        coarse = dealt(several.join(nodes.select("node", "parity"), "node").select("node", "key", "size", "component", "parity"))
+        several = settled(coarse.mapInArrow(lambda x: _likely(x, similarity), "node long, key long, size int, component long"))
+        before = tried.groupBy("a").agg(F.collect_list("b").alias("tried")).withColumnRenamed("a", "node")
+        full = several.join(nodes.select("node", F.col("fine").alias("parity")), "node").join(before, "node", "left").select("node", "key", "size", "component", "parity", "tried")
+        out = settled(dealt(full).mapInArrow(lambda x, most=most: _across(x, similarity, most), "a long, b long").distinct())
+        rest, more = out.where("b is not null"), out.where("b is null").select(F.col("a").alias("node"))
+        if rest.isEmpty():
+            break
+        found, tried = checked(rest), tried.union(rest)
+        links = found if links is None else links.union(found)
+        comp = components(links)
+        if more.isEmpty():
+            break
+        rows_left, most = several.join(more, "node", "left_semi").select("node", "key", "size"), 4 * most
     if comp is None:
         comp = nodes.select("node", F.col("node").alias("component")).limit(0)
     named = nodes.select("digest", "n", "node").join(comp, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component_id"))

@@ -752,6 +752,35 @@ def test_nearest_fingerprints_of_a_bucket():
         assert best.get(i) == min(within, default=None)
 
 
+def test_candidates_of_a_large_group_grow_with_its_rows():
+    """400 texts that all may be alike, each a component: a few rows for each, then the rest of those that had more."""
+    n, r = 400, random.Random(16)
+    sets = [np.array(sorted({*range(160), *(1000 + r.randrange(60) for _ in range(12))}), np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(n)]
+    size = [len(x) for x in sets]
+    order = sorted(range(n), key=lambda k: (size[k], k))
+    parities = [simhash.parity(x) for x in sets]
+
+    def run(nodes, tried, **options):
+        cells = {"node": nodes, "key": [1] * len(nodes), "size": [size[k] for k in nodes], "component": nodes, "parity": [parities[k] for k in nodes], "tried": [[b for a, b in tried if a == k] for k in nodes]}
+        kinds = {"size": pa.int32(), "tried": pa.list_(pa.int64())}
+        batch = pa.record_batch({k: pa.array(v, kinds.get(k)) for k, v in cells.items()})
+        return [(x["a"], x["b"]) for b in simhash._across(iter([batch]), 0.8, **options) for x in b.to_pylist()]
+
+    first = run(order, [])
+    assert len(first) <= 3 * n
+    pairs, nodes, found, most = set(), order, first, 2
+    while True:
+        new = {x for x in found if x[1] is not None}
+        assert not new & pairs
+        pairs |= new
+        more = {a for a, b in found if b is None}
+        nodes, most = [k for k in nodes if k in more], 8 * most
+        if not nodes:
+            break
+        found = run(nodes, pairs, most=most)
+    assert pairs == {(a, b) for a in range(n) for b in range(a)}
+
+
 def test_leaks_of_windows_with_few_literals(spark):
     """Number-dense items count where the values agree, and only there; those with other values keep their wide windows."""
     bench = [(1, "what is 37 * 48 + 12"), (2, "mix 3 kg of 4 l and 5 g"), (3, "take 3 kg of apples and 4 kg of pears then tell how many baskets you will need for all of them")]
