@@ -75,9 +75,14 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def buckets(spark: SparkSession, each: int = 3) -> int:
-    """Buckets that a worker holds whole: several a shuffle partition, as it holds one at a time."""
-    return each * partitions(spark)
+BUCKET_BYTES = 1 << 20  # of text in a bucket, at least
+
+
+def buckets(spark: SparkSession, each: int = 3, size: int | None = None) -> int:
+    """Buckets that a worker holds whole: several a shuffle partition, as it holds one at a time. Every bucket of keys sends
+    a row to every bucket of documents, so with `size`, the bytes of all text, there are no more than have BUCKET_BYTES."""
+    most = each * partitions(spark)
+    return most if size is None else min(most, 1 + size // BUCKET_BYTES)
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -230,7 +230,8 @@ def without_shared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if width < 8 or gram >= width:
         raise ValueError("strings of 8 bytes or more, and a shorter gram")
-    parts = buckets(df.sparkSession)
+    size = df.agg(F.sum(F.octet_length(text_col))).first()[0]
+    parts = buckets(df.sparkSession, size=size or 0)
 
     def emit(batches):
         for batch, data, at in slices(batches, "text"):

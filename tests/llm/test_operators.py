@@ -781,6 +781,19 @@ def test_candidates_of_a_large_group_grow_with_its_rows():
     assert pairs == {(a, b) for a in range(n) for b in range(a)}
 
 
+def test_small_tables_get_few_buckets(spark, monkeypatch):
+    """Each bucket of keys sends a row to each bucket of documents: many partitions don't cut a small table finer."""
+    monkeypatch.setattr(suffixes, "texts_in_buckets", lambda *a, **b: (_ for _ in ()).throw(ValueError(str(a[3]))))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "211")
+        with pytest.raises(ValueError) as said:
+            suffixes.without_shared(documents(spark, [(i, f"text {i} " * 20_000) for i in range(10)]))
+        assert int(str(said.value)) == 1 + 20_000 * 7 * 10 // (1 << 20)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_leaks_of_windows_with_few_literals(spark):
     """Number-dense items count where the values agree, and only there; those with other values keep their wide windows."""
     bench = [(1, "what is 37 * 48 + 12"), (2, "mix 3 kg of 4 l and 5 g"), (3, "take 3 kg of apples and 4 kg of pears then tell how many baskets you will need for all of them")]
