@@ -70,6 +70,13 @@ def release() -> None:
         _KEPT.pop().unpersist()
 
 
+def collected(spark: SparkSession) -> None:
+    """Have the executors collect their garbage, once a core. Their heaps grow to their limit over the stages, mostly by what
+    is no longer used, and give nothing back before a full collection; workers need that memory beside them."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session: the operators' own buckets follow the cluster's setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -147,35 +154,44 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
-_POWERS: dict[int, np.ndarray] = {}
+_BITS = 14
+_BLOCK = 1 << _BITS
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2 ** 64."""
-    have = _POWERS.get(base)
-    if have is None or len(have) <= n:
-        size = max(1 << 16, 1 << int(n + 1).bit_length())
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        _POWERS[base] = have = np.cumprod(have, dtype=np.uint64)
-    return have[: n + 1]
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base ** i modulo 2 ** 64 for i up to n, as low[i % _BLOCK] * high[i // _BLOCK]: a table of n numbers would outweigh a
+    worker's batch, and a kept one stays as large as the longest text asked for."""
+    low, high = np.full(_BLOCK, base, np.uint64), np.full(n // _BLOCK + 1, pow(base, _BLOCK, 1 << 64), np.uint64)
+    low[0] = high[0] = 1
+    return np.cumprod(low, dtype=np.uint64), np.cumprod(high, dtype=np.uint64)
 
 
 class Prefix:
-    """Hashes of any stretch of a sequence of 64-bit values in constant time each: equal stretches, equal hashes."""
+    """Hashes of any stretch of a sequence of 64-bit values in constant time each: equal stretches, equal hashes. With `table`
+    the values are table[values]."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, table: np.ndarray | None = None):
         n = len(values)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * powers(_BASE, n)[:n], out=self.sums[1:])
-        self.back = powers(pow(_BASE, -1, 1 << 64), n)
+        low, high = powers(_BASE, n)
+        for k, lo in enumerate(range(0, n, _BLOCK)):
+            part = values[lo : lo + _BLOCK] if table is None else table[values[lo : lo + _BLOCK]]
+            out = self.sums[lo + 1 : lo + 1 + len(part)]
+            np.cumsum(part * low[: len(part)], out=out)
+            out *= high[k]
+            out += self.sums[lo]
+        self.low, self.high = powers(pow(_BASE, -1, 1 << 64), n)
 
     @classmethod
     def of_bytes(cls, data: np.ndarray) -> Prefix:
-        return cls(_BYTE[data])
+        return cls(data, _BYTE)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+        out = self.sums[end] - self.sums[start]
+        out *= self.low[start & (_BLOCK - 1)]
+        out *= self.high[start >> _BITS]
+        out += (end - start).astype(np.uint64)
+        return mixed(out)
 
 
 _JOIN = np.uint64(0xA24BAED4963EE407)

@@ -7,11 +7,14 @@ beside those of documents are not read and not returned; an empty table gives an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import release, settled, written
+from .common import collected, release, settled, written
 from .decontaminate import leaks
 from .langid import identify
 from .packing import pack
@@ -29,12 +32,25 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, "doc_id", "left_anti").select(COLUMNS)
 
 
+def _stage(f: Callable) -> Callable:
+    """A stage on its own: executors have the package, Arrow batches are bounded, and heaps hold nothing of earlier stages."""
+
+    @wraps(f)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        collected(ship(spark))
+        return f(spark, docs, sf_dir)
+
+    return begun
+
+
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found; `lang` is what they declare, `source` their host."""
     found = identify(docs, declared=F.col("lang"), host=F.col("source"))
     return _without(docs, found.where(~F.col("accepted")).select("doc_id"))
 
 
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id. Of rows that share a doc_id, that with
     the smallest text stays, then the smallest of the other columns."""
@@ -47,6 +63,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left
 
 
+@_stage
 def shared_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings that one with a smaller doc_id holds; those of which nothing stays go."""
     cut = without_shared(docs, carry=("lang", "source"), characters=True)
@@ -54,11 +71,13 @@ def shared_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
+@_stage
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return _without(docs, leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id"))
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
     return pack(docs)

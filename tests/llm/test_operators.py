@@ -802,3 +802,27 @@ def test_leaks_of_windows_with_few_literals(spark):
         (5, "take 8 kg of apples and 9 kg of pears then tell how many baskets you will need for all of them"), (6, "nothing here but 37 48 12"),
     ]
     assert flagged(spark, rows, bench) == [(1, 1, True), (3, 2, True), (5, 3, False)]
+
+
+def test_hashes_of_long_texts_leave_no_tables_behind():
+    import tracemalloc
+
+    from orrery.llm import common
+
+    data = np.random.default_rng(7).integers(0, 256, 3_000_000).astype(np.uint8)
+    data[2_000_000:2_000_100] = data[100:200]
+    tracemalloc.start()
+    try:
+        hashes = common.Prefix.of_bytes(data)
+        sums = hashes.sums.nbytes
+        left, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert left - sums < 1 << 20 and peak - sums < 1 << 20
+    start = np.array([100, 2_000_000, 0, 16_380, 0])
+    end = np.array([200, 2_000_100, 100, 16_390, len(data)])
+    got = hashes(start, end)
+    assert got[0] == got[1] and len(set(got.tolist())) == 4
+    values, most, inverse = common._BYTE[data[16_380:16_390]].tolist(), 1 << 64, pow(common._BASE, -1, 1 << 64)
+    plain = sum(v * pow(common._BASE, 16_380 + i, most) for i, v in enumerate(values)) * pow(inverse, 16_380, most) + 10
+    assert got[3] == common.mixed(np.array([plain % most], np.uint64))[0]

@@ -139,3 +139,15 @@ def test_stages_take_an_empty_table(spark):
     for _, f in corpus_pipeline.STAGES:
         docs = written(f(spark, docs, DATA))
     assert docs.count() == 0
+
+
+def test_stages_begin_with_collected_heaps(spark):
+    def full() -> int:
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if re.search("Old|MarkSweep", b.getName()))
+
+    docs = spark.createDataFrame([(1, "some words of a text", "en", "a.org/x", 20)], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs, DATA)
+        assert full() > before
